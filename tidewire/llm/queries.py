@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import mixing, packing, quality, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +18,34 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, n = mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mixed.select("doc_id", n.size, n.source_size, n.target, (F.col(n.copies) * F.col(n.size)).alias("taken"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit_rules(docs, _table(spark, sf_dir, "labels"))
+    scored, n = quality.with_quality_score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col(n["score"]).alias("score"), F.col(n["predicted"]).alias("predicted"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit_verdict(docs, _table(spark, sf_dir, "labels"))
+    judged, n = quality.with_verdict(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", *[F.col(n[c]).alias(c) for c in (*quality.VERDICT, "base_failed", "kept", "score")])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_mixing": op5_mixing,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_token_files": op9_token_files,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
