@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, token_files
+from . import line_dedup, mixing, packing, quality, secrets, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.col("text"), "[^A-Za-z]+")).alias("word")).where(F.length("word") > 2)
+    table = secrets.train(secrets.default_samples(spark, ordinary=words))
+    found, n = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"), table)
+    return found.select("doc_id", *[F.col(n[c]).alias(c) for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
@@ -23,6 +30,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", n.size, n.source_size, n.target, (F.col(n.copies) * F.col(n.size)).alias("taken"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short, n = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return short.select("doc_id", "text", F.col(n["n_lines"]).alias("n_lines"), F.col(n["n_removed"]).alias("n_removed"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit_rules(docs, _table(spark, sf_dir, "labels"))
@@ -42,10 +54,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_mixing": op5_mixing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE_SQL}
