@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality, secrets, token_files
+from . import line_dedup, mixing, near_dedup, packing, quality, secrets, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.col("text"), "[^A-Za-z]+")).alias("word")).where(F.length("word") > 2)
     table = secrets.train(secrets.default_samples(spark, ordinary=words))
@@ -54,6 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_mixing": op5_mixing,
