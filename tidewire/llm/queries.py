@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_dedup, packing, quality, secrets, token_files
+from . import html, line_dedup, media, mixing, near_dedup, packing, quality, secrets, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +29,20 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, n = html.extract_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return text.select("page_id", "url", F.col(n["text"]).alias("text"), F.col(n["n_chars"]).alias("n_chars"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, n = mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     return mixed.select("doc_id", n.size, n.source_size, n.target, (F.col(n.copies) * F.col(n.size)).alias("taken"))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     short, n = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return short.select("doc_id", "text", F.col(n["n_lines"]).alias("n_lines"), F.col(n["n_removed"]).alias("n_removed"))
@@ -61,7 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_html_extraction": op4_html_extraction,
     "op5_mixing": op5_mixing,
+    "op6_media_columns": op6_media_columns,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_token_files": op9_token_files,
