@@ -65,7 +65,8 @@ def syn_ack(mask: Column | str) -> Column:
 
 
 def ticks_to_ns(seconds: Column, fraction: Column, ticks: Column) -> Column:
-    return F.expr("0L") + seconds * 1_000_000_000 + F.floor(fraction * 1_000_000_000 / ticks)
+    whole = lambda c: c.cast("long")
+    return whole(seconds) * 1_000_000_000 + F.call_function("div", whole(fraction) * 1_000_000_000, whole(ticks))
 
 
 def precision_class(ticks: Column | str) -> Column:
