@@ -34,7 +34,7 @@ WORDS = "account address array async backup balance batch block buffer build cac
 
 
 def default_samples(spark: SparkSession, n: int = 4000, ordinary: DataFrame | None = None) -> DataFrame:
-    """Labelled samples (sample, random): ``n`` random strings of usual alphabets, and ``n`` identifiers joined from words.
+    """Labelled samples (sample, random): ``n`` random strings of usual alphabets, and ``n`` identifiers joined from words or rulers of one character.
 
     ``ordinary`` may add words of the corpus's own kind (column ``word``); they are joined to long words as well.
     """
@@ -58,7 +58,7 @@ def default_samples(spark: SparkSession, n: int = 4000, ordinary: DataFrame | No
         .when(F.col("id") % 7 == 2, F.concat_ws("/", *four))
         .when(F.col("id") % 7 == 3, F.concat_ws("-", *four[:3], F.lit(2024) + F.col("id") % 9))
         .when(F.col("id") % 7 == 4, F.upper(F.concat_ws("_", *four)))
-        .when(F.col("id") % 7 == 5, F.concat(F.repeat(F.element_at(F.array(*map(F.lit, "=-_")), (F.col("id") % 3 + 1).cast("int")), 10), four[0], F.repeat(F.lit("-"), 12)))
+        .when(F.col("id") % 7 == 5, F.repeat(F.substring(F.lit(ALPHABET), ((F.col("id") / 7) % len(ALPHABET) + 1).cast("int"), F.lit(1)), 12))
         .otherwise(F.concat(*four))
         .alias("sample"),
         F.lit(False).alias("random"),
