@@ -112,3 +112,16 @@ def builtin_rules(spark, d):
 
     task = Task(spark, "task_demo", "synthetic", packets, load_rules())
     return task._alerts().select("id", "rule_id", "severity", "grp", "value", "first_packet", "last_packet")
+
+
+@query("SELECT 'tcp|' || l_orderkey AS key, CASE WHEN n % 5 = 3 THEN 'incomplete' ELSE 'active' END AS state, 'timeout' AS reason FROM (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey % 20 = 1 GROUP BY l_orderkey) WHERE 5000 - (n - 1) * 1000 > 2500")
+def idle_streams(spark, d):
+    """Streams that were quiet for too long when the capture ended."""
+    return reassembly.idle_streams(reassembly.streams(_trial(spark, d)), 5000, 2500).drop("from_client")
+
+
+@query(W + "SELECT seq, repeat('x', CAST(length % 50 AS INT)) AS data FROM flows WHERE proto = 'tcp' AND seq % 10 = 1 AND length % 50 > 0")
+def payload_bytes(spark, d):
+    """Payloads by reference, for chosen packets only."""
+    own = decode(framed(spark, d)).where("network.protocol = 'tcp' AND packet_index % 10 = 1 AND payload_ref IS NOT NULL")
+    return own.select(F.col("packet_index").alias("seq"), F.substring("raw", (F.col("payload_ref.offset") + 1).cast("int"), F.col("payload_ref.length").cast("int")).cast("string").alias("data"))

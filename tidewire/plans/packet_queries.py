@@ -203,3 +203,26 @@ def packets_by_index(spark, d):
 
     indices = spark.range(40).select(F.col("id").alias("pos"), (F.col("id") * 37 % 101).alias("packet_index"))
     return pick(flows(spark, d), indices).select("pos", "seq", "length")
+
+
+@query(WS + "SELECT id, packets, bytes FROM (SELECT * FROM sessions ORDER BY bytes DESC, id LIMIT 40) ORDER BY packets DESC, id")
+def stored_sessions_page(spark, d):
+    """As the interface does it, a page by bytes that is then sorted by packets."""
+    from ..operators.store import stored_sessions
+
+    return stored_sessions(_s(spark, d), "packets", 40, compat=True).select("id", "packets", "bytes")
+
+
+@query(W + "SELECT seq, " + ", ".join(f"CAST(length AS DOUBLE) {o} 640 AS {n}" for n, o in (("gt", ">"), ("gte", ">="), ("lt", "<"), ("lte", "<="), ("eq", "="), ("neq", "<>"))) + " FROM flows")
+def threshold_operators(spark, d):
+    """F9."""
+    value = F.col("length").cast("double")
+    return flows(spark, d).select("seq", *[filters.threshold_met(value, n, 640.0).alias(n) for n in ("gt", "gte", "lt", "lte", "eq", "neq")])
+
+
+@query(WS + "SELECT count(*) FILTER (WHERE fin = 0 AND rst = 0) AS open, count(*) FILTER (WHERE basis = 'syn_first') AS known, (SELECT max(ts_ns) FROM flows) - max(last_ts) AS quiet_ns FROM sessions WHERE proto = 'tcp'")
+def session_states(spark, d):
+    """A10: sessions counted by how they stand."""
+    last = flows(spark, d).agg(F.max("ts_ns").alias("now"))
+    own = sessions.sessions(flows(spark, d)).where("proto = 'tcp'").agg(F.count_if((F.col("fin") == 0) & (F.col("rst") == 0)).alias("open"), F.count_if(F.col("basis") == "syn_first").alias("known"), F.max("last_ts").alias("l"))
+    return own.crossJoin(last).select("open", "known", (F.col("now") - F.col("l")).alias("quiet_ns"))

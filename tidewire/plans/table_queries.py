@@ -158,3 +158,41 @@ def json_lines(spark, d):
 def latest_by_key(spark, d):
     """The last row of each key."""
     return store.latest(_t(spark, d, "events"), ["user_id"], "ts").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT user_id AS run_id, count(*) AS steps, CAST(sum(event_id % 97) AS BIGINT) AS llm_ms, CAST(coalesce(sum(CASE WHEN event_id % 3 = 0 THEN event_id % 11 END), 0) AS BIGINT) AS tool_ms FROM events GROUP BY user_id")
+def agent_counters(spark, d):
+    """What each run took."""
+    from ..operators import trace
+
+    own = _t(spark, d, "events").select(F.col("user_id").alias("run_id"), (F.col("event_id") % 97).alias("llm_ms"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 11).alias("tool_ms"))
+    return trace.counters(own)
+
+
+@query("""WITH c AS (SELECT user_id AS case_id, list_distinct(list(event_type)) AS actual, count(*) FILTER (WHERE event_type = 'view') AS valid, count(*) FILTER (WHERE event_type IN ('view', 'error')) AS findings FROM events WHERE event_id % 20 = 0 GROUP BY user_id)
+SELECT case_id, len(list_intersect(actual, ['view', 'click', 'error'])) / 3.0::DOUBLE AS path_match, CASE WHEN findings = 0 THEN 1.0::DOUBLE ELSE valid / findings::DOUBLE END AS validity FROM c""")
+def evaluation_metrics(spark, d):
+    """Expected tools that were used, and findings that hold."""
+    from ..operators import trace
+
+    own = _t(spark, d, "events").where("event_id % 20 = 0").groupBy(F.col("user_id").alias("case_id")).agg(F.collect_set("event_type").alias("actual"), F.count_if(F.col("event_type") == "view").alias("valid"), F.count_if(F.col("event_type").isin("view", "error")).alias("findings"))
+    return trace.evaluation(own.withColumn("expected", F.array(*map(F.lit, ["view", "click", "error", "view"]))))
+
+
+@query("SELECT c.c_custkey AS finding_id, 'o' || k.k AS call, o.o_orderstatus AS method FROM customer c, (SELECT unnest([0, 1, 2]) AS j) j, LATERAL (SELECT c.c_custkey * 31 + j.j * 7 AS k) k LEFT JOIN (SELECT o_orderkey, min(o_orderstatus) AS o_orderstatus FROM orders GROUP BY o_orderkey) o ON o.o_orderkey = k.k")
+def findings_with_trace(spark, d):
+    """Citations beside their calls, if there are any."""
+    from ..operators import trace
+
+    findings = _t(spark, d, "customer").select(F.col("c_custkey").alias("finding_id"), F.array(*[F.concat(F.lit("o"), (F.col("c_custkey") * 31 + 7 * j).cast("string")) for j in range(3)]).alias("evidence"))
+    calls = _t(spark, d, "orders").groupBy("o_orderkey").agg(F.min("o_orderstatus").alias("method")).select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), "method")
+    return trace.findings_with_trace(findings, calls)
+
+
+@query("SELECT c_custkey AS id, CAST(p AS INT) AS pos, CASE WHEN p < c_custkey % 4 THEN 'd' || p END AS draft, CASE WHEN p < c_custkey % 3 THEN 's' || p END AS stored FROM customer, (SELECT unnest([0, 1, 2]) AS p) WHERE p < greatest(c_custkey % 4, c_custkey % 3)")
+def drafts_paired(spark, d):
+    """Two lists side by side by position."""
+    from ..operators import trace
+
+    named = lambda m, c: F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: i < F.col("c_custkey") % m), lambda i: F.concat(F.lit(c), i.cast("string")))
+    return trace.paired(_t(spark, d, "customer").select(F.col("c_custkey").alias("id"), named(4, "d").alias("drafts"), named(3, "s").alias("stored")))
