@@ -4,7 +4,7 @@ A text's UTF-8 bytes, filled up with zeros to a positive multiple of 64, are the
 pixels wide, so any payload is stored without loss and compressed. Images are members of tar shards, named by the
 SHA-256 of the payload; a shard stores a digest once. A row carries digest, shard, offset and length of the image
 inside the shard. If more than one shard holds a digest, all rows point to the first of them. Metadata (width, height,
-depth) come from the first 33 bytes of a member; features from its samples.
+depth) come from a read of the first 33 bytes of a member; features from its samples.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def to_png(payload: bytes, level: int = 1) -> bytes:
+def to_png(payload: bytes, level: int = 6) -> bytes:
     """A grey 8-bit image, 64 samples a row, each row after its filter byte 0. Equal payloads give equal bytes."""
     rows = np.zeros((len(payload) // UNIT, UNIT + 1), np.uint8)
     rows[:, 1:] = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
@@ -98,7 +98,7 @@ POINTERS = "digest binary, n_bytes long, payload_bytes long, shard string, offse
 
 
 def store_payloads(df: DataFrame, folder: str, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
-    """Writes the texts' images and returns ``df`` without its text, with digest, sizes and place under free names.
+    """Writes the texts' images and returns ``df`` without its text, with digest, sizes and place under free names, materialized.
 
     A task writes its own shards, under names that no other attempt has, so rows of a task that ran twice point into
     the files of the attempt that counts. Null texts are empty; equal texts are one object; no rows give no shard.
@@ -130,14 +130,17 @@ def store_payloads(df: DataFrame, folder: str, text: str = "text") -> tuple[Data
             shard.close()
 
     pointers = df.select(*[col(c) for c in kept], text_or_empty(text).alias(free_name(df, "_text"))).mapInArrow(write, schema)
-    pointers = materialize(pointers, "pointers")
-    first = pointers.groupBy(col(names["digest"]).alias("_d")).agg(F.min(F.struct(col(names["shard"]), col(names["offset"]), col(names["length"]))).alias("_p"))
-    placed = pointers.drop(names["shard"], names["offset"], names["length"]).join(first, col(names["digest"]) == F.col("_d"))
-    return placed.select(*[col(c) for c in kept], *[col(names[c]) for c in ("digest", "n_bytes", "payload_bytes")], *[F.col("_p").getField(names[c]).alias(names[c]) for c in ("shard", "offset", "length")]), names
+    return materialize(pointers, "pointers"), names
+
+
+def objects_of(pointers: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(digest, shard, offset, length): one place for each digest, the first of those that hold it."""
+    place = F.struct(col(names["shard"]).alias("shard"), col(names["offset"]).alias("offset"), col(names["length"]).alias("length"))
+    return pointers.groupBy(col(names["digest"]).alias("digest")).agg(F.min(place).alias("p")).select("digest", "p.*")
 
 
 METADATA = "digest binary, width int, height int, depth int, colour int"
-FEATURES = "digest binary, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURES = "digest binary, shard string, offset long, length long, width int, height int, depth int, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def _by_shard(objects: DataFrame) -> DataFrame:
@@ -164,11 +167,13 @@ def read_metadata(objects: DataFrame) -> DataFrame:
     return _by_shard(objects).mapInArrow(read, METADATA)
 
 
-def read_features(objects: DataFrame) -> DataFrame:
-    """Digests and a feature of the stored bytes of ``objects``, read back from the shards.
+def read_objects(objects: DataFrame) -> DataFrame:
+    """``objects`` with metadata from a header read and digests and a feature from the stored bytes, read back.
 
     The feature has the image's form and the mean, the number of distinct values and the entropy of its samples.
     """
+    fields = [f.split(" ") for f in FEATURES.split(", ")]
+    kinds = {"binary": pa.binary(), "string": pa.string(), "long": pa.int64(), "int": pa.int32()}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, file = None, None
@@ -178,25 +183,28 @@ def read_features(objects: DataFrame) -> DataFrame:
                 if shard != name:
                     store, path = open_store(shard)
                     name, file = shard, store.open_input_file(path)
+                width, height, depth, _ = png_header(file.read_at(HEADER_BYTES, offset))
                 image = file.read_at(length, offset)
-                width, height, depth, _ = png_header(image[:HEADER_BYTES])
                 samples = png_samples(image)
                 counts = np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
                 share = counts[counts > 0] / len(samples)
                 entropy = abs(float(-(share * np.log2(share)).sum()))
                 mean = float((counts * np.arange(256)).sum()) / len(samples)
-                rows.append((digest, hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(image), hashlib.sha256(image).hexdigest(), f"png {width}x{height}x{depth} mean={mean:.4f} distinct={int((counts > 0).sum())} entropy={entropy:.4f}"))
-            types = (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["digest", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                feature = f"png {width}x{height}x{depth} mean={mean:.4f} distinct={int((counts > 0).sum())} entropy={entropy:.4f}"
+                rows.append((digest, shard, offset, length, width, height, depth, hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(image), hashlib.sha256(image).hexdigest(), feature))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [f for f, _ in fields])
 
     return _by_shard(objects).mapInArrow(read, FEATURES)
 
 
 def media_columns(df: DataFrame, folder: str | None = None, text: str = "text") -> DataFrame:
     """Stores the texts and returns the other columns with the pointers, the metadata and the features of the stored form."""
-    stored, n = store_payloads(df, folder or new_folder(df.sparkSession, "media"), text)
-    stored = materialize(stored, "stored")
-    objects = stored.select(*[col(n[c]).alias(c) for c in ("digest", "shard", "offset", "length")]).dropDuplicates(["digest"])
-    about = materialize(read_metadata(objects).join(read_features(objects), "digest"), "objects").withColumnRenamed("digest", "_d")
-    return stored.join(about, col(n["digest"]) == F.col("_d")).drop("_d")
+    pointers, n = store_payloads(df, folder or new_folder(df.sparkSession, "media"), text)
+    about = materialize(read_objects(objects_of(pointers, n)), "objects").withColumnRenamed("digest", "_d")
+    own = pointers.drop(n["shard"], n["offset"], n["length"])
+    taken = {c.lower() for c in own.columns}
+    for c in about.columns:  # clashing names of the caller's columns stay theirs
+        if c.lower() in taken and c != "_d":
+            about = about.withColumnRenamed(c, free_name(own, c))
+    return own.join(about, col(n["digest"]) == F.col("_d")).drop("_d")
