@@ -84,6 +84,16 @@ def test_batch_equals_the_fold(spark, metric, field):
     assert want and got == pytest.approx(want)
 
 
+def test_windows_at_the_edges_of_stretches(spark):
+    """Nanoseconds just before and after the ends of stretches, where doubles would round."""
+    rule = Rule("X-006", 1000, "gte", 2, cooldown_ns=0)
+    edge = 106_250_000_000_000 * 16_000
+    rows = [(edge + d, {}) for d in (-1001, -1000, -999, -1, 0, 1, 999, 1000, 1001)]
+    got = {r.seq: r.value for r in rules.window_values(rules.matched_events(events(spark, rows), rule), 1000).collect()}
+    times = [r[0] for r in rows]
+    assert got == {k: sum(t - 1000 <= u <= t for u in times) for k, t in enumerate(times)}
+
+
 def test_degraded_window():
     state = WindowState(Rule("X-005", 10**18, "gt", 1), strict=True)
     values = [state.feed(k, None, 1) for k in range(5000)]

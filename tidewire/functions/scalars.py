@@ -18,6 +18,12 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def floor_div(a: Column | str, b: int | Column) -> Column:
+    """Whole division towards minus infinity, in whole numbers: doubles can't hold nanoseconds since 1970."""
+    a, b = _c(a).cast("long"), (F.lit(b) if isinstance(b, int) else b).cast("long")
+    return F.call_function("div", a - F.pmod(a, b), b)
+
+
 def ip_key(ip: Column | str) -> Column:
     """A string that sorts as addresses do: all IPv4 before all IPv6, bytes in order. Null for null.
 
@@ -66,7 +72,7 @@ def syn_ack(mask: Column | str) -> Column:
 
 def ticks_to_ns(seconds: Column, fraction: Column, ticks: Column) -> Column:
     whole = lambda c: c.cast("long")
-    return whole(seconds) * 1_000_000_000 + F.call_function("div", whole(fraction) * 1_000_000_000, whole(ticks))
+    return whole(seconds) * 1_000_000_000 + floor_div(whole(fraction) * 1_000_000_000, ticks)
 
 
 def precision_class(ticks: Column | str) -> Column:
@@ -163,7 +169,7 @@ def split_refs(text: Column | str) -> Column:
 
 def rfc3339(ns: Column | str) -> Column:
     """Nanoseconds as RFC 3339 text in seconds; the session's time zone is UTC."""
-    return F.date_format(F.timestamp_seconds(F.floor(_c(ns) / 1_000_000_000)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.date_format(F.timestamp_seconds(floor_div(ns, 1_000_000_000)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def human_seconds(seconds: Column | str) -> Column:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import even_sample, flags_to_mask, group_key, session_key
+from ..functions.scalars import even_sample, flags_to_mask, floor_div, group_key, session_key
 from .filters import port_condition, threshold_met
 from .rule_files import Rule
 
@@ -99,7 +99,7 @@ def matched_events(events: DataFrame, rule: Rule) -> DataFrame:
 def _stretched(events: DataFrame, window_ns: int) -> DataFrame:
     """Adds stretch and ahead; an event near the end of a stretch is also there, ahead of the next one, as its past."""
     size = max(window_ns, 1) * WINDOWS_A_STRETCH
-    own = F.floor(F.col("ts_ns") / size)
+    own = floor_div("ts_ns", size)
     late = (F.col("ts_ns") - own * size) >= size - window_ns
     spots = F.when(late, F.array(F.struct(own.alias("s"), F.lit(False).alias("a")), F.struct((own + 1).alias("s"), F.lit(True).alias("a")))).otherwise(F.array(F.struct(own.alias("s"), F.lit(False).alias("a"))))
     return events.withColumn("_spot", F.explode(spots)).withColumn("stretch", F.col("_spot.s")).withColumn("ahead", F.col("_spot.a")).drop("_spot")
@@ -162,9 +162,9 @@ def evidence(alerts: DataFrame, events: DataFrame, window_ns: int, samples: int
     """
     width = max(window_ns, 1)
     keyed = alerts.withColumn("_from", F.col("ts_ns") - window_ns)
-    spots = F.sequence(F.floor(F.col("_from") / width), F.floor(F.col("ts_ns") / width))
+    spots = F.sequence(floor_div("_from", width), floor_div("ts_ns", width))
     wide = keyed.select("*", F.explode(spots).alias("_s"))
-    past = events.select(F.col("grp").alias("_g"), F.col("seq").alias("_q"), F.col("ts_ns").alias("_t"), F.floor(F.col("ts_ns") / width).alias("_es"))
+    past = events.select(F.col("grp").alias("_g"), F.col("seq").alias("_q"), F.col("ts_ns").alias("_t"), floor_div("ts_ns", width).alias("_es"))
     inside = (F.col("_t") >= F.col("_from")) & ((F.col("_t") < F.col("ts_ns")) | ((F.col("_t") == F.col("ts_ns")) & (F.col("_q") <= F.col("seq"))))
     held = wide.join(past, (F.col("grp") == F.col("_g")) & (F.col("_s") == F.col("_es")) & inside)
     at = F.row_number().over(Window.partitionBy("grp", "seq", "now_ns").orderBy("_t", "_q"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bare_syn, flags_to_mask, ip_key, session_key, syn_ack
+from ..functions.scalars import bare_syn, flags_to_mask, floor_div, ip_key, session_key, syn_ack
 
 TRANSPORTS = ("tcp", "udp", "icmp", "icmpv6")
 
@@ -101,7 +101,7 @@ def with_session_ids(frame: DataFrame) -> DataFrame:
     No window goes over all sessions: each begins at a packet of its own, so a stretch of packets has a bounded number
     of sessions to number, and only the stretches' counts (a row a million packets) are summed in one place.
     """
-    cut = frame.withColumn("_stretch", F.floor(F.col("first_seq") / STRETCH))
+    cut = frame.withColumn("_stretch", floor_div("first_seq", STRETCH))
     counts = cut.groupBy("_stretch").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select(F.col("_stretch"), (F.sum("_n").over(Window.orderBy("_stretch")) - F.col("_n")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_stretch").orderBy("first_seq"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import floor_div
+
 #: The longest window of the rule language.
 WATERMARK = "5 minutes"
 
 
 def event_time(flows: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """Adds the event time column that windows need; the nanoseconds stay the canonical time."""
-    return flows.withColumn("event_time", F.timestamp_micros(F.floor(F.col("ts_ns") / 1000).cast("long"))).withWatermark("event_time", watermark)
+    return flows.withColumn("event_time", F.timestamp_micros(floor_div("ts_ns", 1000))).withWatermark("event_time", watermark)
 
 
 def tumbling_protocols(flows: DataFrame, size: str = "1 minute", watermark: str = WATERMARK) -> DataFrame:
