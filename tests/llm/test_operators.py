@@ -335,6 +335,24 @@ def test_near_classes_of_chains_and_common_passages(spark):
     assert [got[d] for d, _ in rows] == jaccard_classes(rows)
 
 
+def test_near_copies_of_one_text(spark):
+    """Copies that are like the original and unlike each other, and copies of copies."""
+    r = random.Random(11)
+    base = [f"b{k}" for k in range(70)]
+    rows = []
+    for k in range(150):
+        own = list(base)
+        own[r.randrange(5, 65)] = f"x{k}"
+        rows.append((1000 - k, " ".join(own)))
+        if k % 5 == 0:
+            own[r.randrange(5, 65)] = f"y{k}"
+            rows.append((2000 + k, " ".join(own)))
+    rows.append((500, " ".join(base)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in near_dedup.near_classes(frame).collect()}
+    assert [got[d] for d, _ in rows] == jaccard_classes(rows)
+
+
 def test_near_classes_of_odd_rows(spark):
     frame = odd_docs(spark)
     got = near_dedup.near_classes(frame).collect()
