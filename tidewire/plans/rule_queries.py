@@ -14,7 +14,7 @@ DAY = 24 * HOUR
 
 
 def _rule(**k) -> Rule:
-    return Rule(**({"id": "FLOW-TEST-001", "window_ns": 2 * DAY, "operator": "gt", "value": 8.0, "cooldown_ns": DAY, "severity": "medium"} | k))
+    return Rule(**({"id": "FLOW-TEST-001", "window_ns": 2 * DAY, "operator": "gt", "value": 4.0, "cooldown_ns": DAY, "severity": "medium"} | k))
 
 
 def _alerts_sql(events: str, value: str, window: int, operator: str, bound: float, cooldown: int, extra: str = "") -> str:
@@ -42,9 +42,9 @@ def _out(frame):
 _SRC = "SELECT 'src_ip=' || coalesce(src, '') AS grp, seq, ts_ns, length AS bytes, {x} AS x FROM flows WHERE {where}"
 
 
-@query(_alerts_sql(_SRC.format(x="NULL", where="proto = 'tcp'"), "count(*)", 2 * DAY, ">", 8, DAY))
+@query(_alerts_sql(_SRC.format(x="NULL", where="proto = 'tcp'"), "count(*)", 2 * DAY, ">", 4, DAY))
 def rule_count_window(spark, d):
-    """More than 8 packets of one source within two days, a day's cooldown. The flagship query."""
+    """More than 4 packets of one source within two days, a day's cooldown. The flagship query."""
     return _out(rules.evaluate(flows(spark, d), _rule(group_by=("src_ip",), match={"protocol": "tcp"})))
 
 
@@ -94,7 +94,7 @@ def rule_session_scope(spark, d):
     return _out(rules.evaluate(own, _rule(window_ns=3 * DAY, value=10, scope="session", group_by=("protocol",), match={"protocol": "tcp"})))
 
 
-_EV = _alerts_sql(_SRC.format(x="NULL", where="proto = 'tcp'"), "count(*)", 2 * DAY, ">", 8, DAY)
+_EV = _alerts_sql(_SRC.format(x="NULL", where="proto = 'tcp'"), "count(*)", 2 * DAY, ">", 4, DAY)
 
 
 @query(_EV.replace("SELECT grp, seq, ts_ns, value FROM walk", f"SELECT w.grp, w.seq, w.value, min(b.ts_ns) AS first_ts, max(b.ts_ns) AS last_ts, min(b.seq) AS first_packet, max(b.seq) AS last_packet FROM walk w JOIN e b ON w.grp = b.grp AND b.ts_ns >= w.ts_ns - {2 * DAY} AND (b.ts_ns < w.ts_ns OR (b.ts_ns = w.ts_ns AND b.seq <= w.seq)) GROUP BY w.grp, w.seq, w.value"))
@@ -112,7 +112,7 @@ def rule_evidence_samples(spark, d):
     return out.select("grp", "seq", F.concat_ws(",", F.transform("sample_packets", lambda x: x.cast("string"))).alias("samples"))
 
 
-_FL = _alerts_sql(_SRC.format(x="NULL", where="proto = 'tcp'"), "count(*)", 2 * DAY, ">", 8, DAY)
+_FL = _alerts_sql(_SRC.format(x="NULL", where="proto = 'tcp'"), "count(*)", 2 * DAY, ">", 4, DAY)
 
 
 @query(_FL.replace("SELECT grp, seq, ts_ns, value FROM walk", f"""
@@ -121,7 +121,7 @@ UNION ALL
 SELECT l.grp, l.seq, f.final AS now_ns, l.value
 FROM (SELECT grp, arg_max(seq, (ts_ns, seq)) AS seq, arg_max(value, (ts_ns, seq)) AS value FROM v GROUP BY grp) l
 JOIN (SELECT grp, max(ts_ns) AS fired FROM walk GROUP BY grp) w ON w.grp = l.grp CROSS JOIN (SELECT max(ts_ns) AS final FROM flows) f
-WHERE l.value > 8 AND f.final >= w.fired + {DAY}"""))
+WHERE l.value > 4 AND f.final >= w.fired + {DAY}"""))
 def rule_flush(spark, d):
     """At the end each group's last window is looked at once more, with the capture's last time as now."""
     return rules.evaluate(flows(spark, d), _rule(match={"protocol": "tcp"}), flush=True).select("grp", "seq", "now_ns", "value")
