@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import even_sample, flags_to_mask, floor_div, group_key, session_key
+from ..functions.scalars import flags_to_mask, floor_div, group_key, session_key
 from .filters import port_condition, threshold_met
 from .rule_files import Rule
 
@@ -218,7 +218,3 @@ def evaluate_all(packets: DataFrame, rules, errors: DataFrame | None = None, ses
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.withColumn("id", F.concat(F.lit("alert_"), F.upper(F.substring(F.sha2(F.concat_ws("|", "rule_id", "grp", "seq", "now_ns"), 256), 1, 26))))
-
-
-def sample_of(values: Column, n: int = 5) -> Column:
-    return even_sample(values, n)
