@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system: a worker that waits for its next task shares its machine with the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only glibc has it
+        pass
+
+
 def open_store(uri: str) -> tuple[fs.FileSystem, str]:
     """A file system and the path in it. A bare path and ``file:`` mean a mounted folder; other schemes are pyarrow's."""
     if "://" not in uri and not uri.startswith("file:"):

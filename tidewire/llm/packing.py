@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, ranked, row_hash, text_or_empty
+from .files import release_memory
 from .tokens import default_vocabulary, encoder, with_end
 
 SEQUENCE = 1024
@@ -51,6 +52,7 @@ def tokenized_pieces(docs: DataFrame, size: int = SEQUENCE, vocabulary: str | No
                 [batch.column("doc_id").take(where), batch.column("_h").take(where), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                 ["doc_id", "_h", "piece", "start", "length", "ids_crc32"],
             )
+            release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs).alias("_h"), text_or_empty().alias("text"))
     return rows.mapInArrow(cut, PIECES)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import boosting
 from .common import col, free_name, text_or_empty
+from .files import release_memory
 from .textstats import COUNTS, FEATURES, features, statistics, with_statistics
 
 #: Models are fitted to at most this many labelled rows, those whose ids have the smallest hashes.
@@ -42,6 +43,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "quality",
         for batch in batches:
             x = features(statistics(batch.column("_text")))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], ["_id", "_y", "_x"])
+        release_memory()
 
     got = texts.mapInArrow(measure, "_id long, _y int, _x array<double>").limit(2 * rows).toArrow()
     x = np.array(got["_x"].to_pylist(), float).reshape(-1, len(FEATURES))
@@ -89,6 +91,8 @@ def with_verdict(df: DataFrame, model: boosting.Trees, keep_at: float = KEEP_AT,
                 columns = columns + [pa.array(counts[:, k]) for k in range(5)] + [pa.array(failed), pa.array(score), pa.array(kept)]
             out = pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
             yield out.filter(pa.array(kept)) if only_kept else out
+            del columns, out
+            release_memory()
 
     return df.select(*[col(c) for c in df.columns], text_or_empty().alias(plain)).mapInArrow(add, schema), names
 

@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, free_name, text_or_empty
+from .files import release_memory
 from .tokens import text_buffers
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 WINDOW = 5
 _BASE = np.uint64(0xD1342543DE82EF95)
 _BASE_INV = np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
@@ -50,7 +51,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        if n > 4 * SLICE_BYTES:  # one very long text: not kept
+        if n > 8 * SLICE_BYTES:  # one very long text: not kept
             return tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, b, np.uint64)])) for b in (_BASE, _BASE_INV))
         for k, b in enumerate((_BASE, _BASE_INV)):
             _POWERS[k] = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, b, np.uint64)]))
@@ -210,5 +211,6 @@ def with_statistics(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[
             shares = features(counts)
             columns = batch.columns[:-1] + [pa.array(counts[:, k]) for k in range(len(COUNTS))] + [pa.array(shares[:, k]) for k in range(len(FEATURES))]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+        release_memory()
 
     return df.select(*[col(c) for c in df.columns], text_or_empty(text).alias(plain)).mapInArrow(add, schema), names

@@ -18,7 +18,7 @@ import pyarrow as pa
 
 END_ID = 2
 #: A batch is encoded in slices of about this many bytes, so numpy's work arrays stay small.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Memo entries kept in one worker; at about 40 bytes each this bounds the memo to 120 MB.
 MEMO_ENTRIES = 3_000_000
 
