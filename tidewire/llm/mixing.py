@@ -98,6 +98,16 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", weights: tu
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself: each row as often as the mix takes it, with the columns of ``docs``."""
-    out, names = mix(docs, **options)
-    return out.where(col(names.copies) > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), col(names.copies)))).select(*[col(c) for c in docs.columns])
+    """The mixed corpus itself: each row as often as the mix takes it, with the columns of ``docs``.
+
+    The mix is computed over narrow rows that carry only a 64-bit hash of theirs, so whole rows move once, for the
+    join that repeats them. Rows that are equal throughout share the copies of all of them.
+    """
+    key, copies, rows = (free_name(docs, x) for x in ("_mix_key", "_mix_copies", "_mix_rows"))
+    keyed = docs.withColumn(key, row_hash(docs))
+    out, names = mix(keyed, keep=[key], **options)
+    counts = materialize(out.groupBy(col(key)).agg(F.sum(col(names.copies)).alias(copies), F.count(F.lit(1)).alias(rows)), "copies")
+    if counts.where(col(rows) > 1).limit(1).count():  # rows that are stored more than once
+        keyed = keyed.groupBy(col(key)).agg(*[F.first(col(c)).alias(c) for c in docs.columns])
+    taken = counts.where(col(copies) > 0).select(col(key), col(copies))
+    return keyed.join(taken, key).withColumn(rows, F.explode(F.sequence(F.lit(1).cast("long"), col(copies)))).select(*[col(c) for c in docs.columns])
