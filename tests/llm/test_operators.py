@@ -353,6 +353,18 @@ def test_near_copies_of_one_text(spark):
     assert [got[d] for d, _ in rows] == jaccard_classes(rows)
 
 
+def test_near_pairs_among_texts_of_one_template(spark):
+    """Texts of one template at about 0.75 share large buckets; a few pairs at 0.87 are nobody's hub."""
+    common = [f"c{k}" for k in range(244)]
+    rows = [(k, " ".join([*common, *(f"u{k}_{j}" for j in range(40))])) for k in range(150)]
+    rows += [(200 + k, " ".join([*common, *(f"u{k}_{j}" if j < 20 else f"v{k}_{j}" for j in range(40))])) for k in range(0, 150, 10)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    # Few bands of one coordinate: few buckets, all of them large.
+    got = {x.doc_id: x.class_id for x in near_dedup.near_classes(frame, bands=near_dedup.Bands(1, 8)).collect()}
+    want = jaccard_classes(rows)
+    assert [got[d] for d, _ in rows] == want and len(set(want)) == 150
+
+
 def test_near_classes_of_odd_rows(spark):
     frame = odd_docs(spark)
     got = near_dedup.near_classes(frame).collect()

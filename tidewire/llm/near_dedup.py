@@ -11,8 +11,8 @@ sum of its buckets' sizes: the text that many others were made from meets more o
 it scores highest. Each member is compared with its bucket's first and last node by score, so the number of comparisons
 grows with the members, not with their pairs, and as the same node leads in all its buckets, a group of copies gives
 few distinct pairs. A pair is judged by the share of equal coordinates if that is far from the threshold, and else by
-its exact similarity. Buckets whose members still lie in more than one class choose further centres from the classes
-that had none, until a round finds no link.
+its exact similarity. Buckets whose members still lie in more than one class choose further centres, eight times as many
+in each round, until no two members of a bucket that lie in different classes are left uncompared.
 """
 
 from __future__ import annotations
@@ -224,6 +224,22 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, ba
     return materialize(judged.where("NOT doubt").select("a", "b").unionByName(exact), "links")
 
 
+#: Centres chosen in a bucket, from round to round. A bucket of m members takes about log(m) rounds, links or none.
+GROWTH = 8
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after more links between the classes of ``labels``."""
+    if not links.limit(1).count():
+        return labels
+    for c in ("a", "b"):
+        links = links.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
+    links = materialize(links, "between")
+    found = components(links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    known = labels.union(links.select("a", "of_a")).union(links.select("b", "of_b")).distinct()
+    return materialize(known.join(found.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels")
+
+
 def node_classes(docs: DataFrame, text: str = "text", bands: Bands | None = None, similar: float = SIMILAR, weighted: bool = False) -> DataFrame:
     """(node, label): the class of each distinct text of ``docs``; a node without links is its own label."""
     bands = bands or Bands()
@@ -236,27 +252,27 @@ def node_classes(docs: DataFrame, text: str = "text", bands: Bands | None = None
     placed = materialize(met.join(ends, "key").select("key", "n", "m", F.col("hi.node").alias("hi"), F.col("lo.node").alias("lo")), "placed")
     tried = materialize(_pairs(placed.withColumn("node", F.col("m.node")), ["hi", "lo"]), "pairs")
     links = _verified(tried, nodes, docs, text, bands, similar)
-    large = placed.where("n > 3")  # up to three members have all met
-    used = large.select("key", F.col("hi").alias("node")).union(large.select("key", "lo")).distinct()
-    large = large.select("key", "m")
+    # Members that have not met all others of their bucket; up to three members have.
+    left = placed.withColumn("node", F.col("m.node")).where("n > 3 AND node <> hi AND node <> lo").select("key", "m", "node")
+    labels = components(links)
+    slots = 1
     while True:
-        labels = components(links)
-        named = large.select("key", "m", F.col("m.node").alias("node")).join(labels, "node", "left").select("key", "m", "node", F.coalesce("label", "node").alias("label"))
-        named = materialize(named, "named")
-        # The first member by score of a class that had no centre in the bucket yet.
-        past = used.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label")).distinct()
-        centre = named.join(past, ["key", "label"], "left_anti").groupBy("key").agg(F.max(F.struct("m", "label")).alias("c")).select("key", F.col("c.m.node").alias("centre"), F.col("c.label").alias("centre_label"))
-        centre = materialize(centre, "centres")
+        size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+        own = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        named = materialize(own.join(mixed, "key").join(size, "label", "left").select("key", "m", "node", "label", F.coalesce("size", F.lit(1)).alias("size")), "named")
+        if not named.limit(1).count():
+            break
+        # Members of the smallest classes have most to meet; among them, the first by score.
+        best = named.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(F.max(F.struct((-F.col("size")).alias("size"), "m", "label")).alias("c"))
+        centre = materialize(best.select("key", F.col("c.m.node").alias("centre"), F.col("c.label").alias("centre_label")), "centres")
         around = named.join(centre, "key").where("label <> centre_label")
         pairs = materialize(_pairs(around, ["centre"]).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.limit(1).count():
-            break
-        more = _verified(pairs, nodes, docs, text, bands, similar)
-        if not more.limit(1).count():
-            break
-        tried = materialize(tried.unionByName(pairs), "tried")
-        links = materialize(links.unionByName(more), "links")
-        used = materialize(used.unionByName(centre.select("key", F.col("centre").alias("node"))), "used")
+        if pairs.limit(1).count():
+            labels = _merged(labels, _verified(pairs, nodes, docs, text, bands, similar))
+            tried = tried.unionByName(pairs)
+        left = named.join(centre.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti").select("key", "m", "node")
+        slots *= GROWTH
     return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
