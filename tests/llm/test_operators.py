@@ -73,6 +73,18 @@ def test_long_texts_are_cut_where_it_is_safe(tokenizer):
     assert ids[: counts[0]].tolist() == tokenizer.encode(text).ids
 
 
+def test_added_tokens_have_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokens.default_vocabulary())
+    end = "<|endoftext|>"
+    given = [f"a {end} b", end, end * 3, "", f"{end}  x", f"y  {end}", f"é　{end}\n\nz", "<|endof", "text|>", f"<|endof{end}text|>", None, f"don't{end}'s 12{end}", "plain", end + "w " * tokens.SLICE_BYTES + end]
+    ids, counts = tokens.PieceEncoder(tokens.default_vocabulary()).encode(pa.array(given, pa.string()))
+    assert 50256 in ids
+    for t, e, n in zip(given, np.cumsum(counts), counts, strict=True):
+        assert ids[e - n : e].tolist() == fresh.encode(t or "", add_special_tokens=False).ids, t
+
+
 # ---- op 9
 
 

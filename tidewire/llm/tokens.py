@@ -5,12 +5,14 @@ most one leading space, and white space) and then merges inside each cut piece.
 and a piece has the same ids wherever it stands. :class:`PieceEncoder` cuts only where the pattern is sure to cut,
 gives each piece a 64-bit hash with one pass of numpy over the bytes, and lets the ``tokenizers`` library encode each
 piece it has not met before. Where a cut is unsure (apostrophes, runs of white space, letters beyond Latin-1), the
-piece just gets longer, so the ids always equal those of encoding the whole text at once.
+piece just gets longer, so the ids always equal those of encoding the whole text at once. The file's added tokens are
+found first, as the library does; what stands between them is cut as if it were a text of its own.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,7 +96,11 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        added = {t.content.encode(): (i, t) for i, t in self._tokenizer.get_added_tokens_decoder().items() if t.content}
+        if any(t.lstrip or t.rstrip or t.single_word for _, t in added.values()):
+            raise ValueError("added tokens that depend on what stands beside them are not supported")
+        self._added = {content: i for content, (i, _) in added.items()}
+        self._any_added = re.compile(b"|".join(map(re.escape, sorted(self._added, key=len, reverse=True)))) if added else None
         self._limit = memo_entries
         (self._newline,) = self._tokenizer.encode("\n", add_special_tokens=False).ids
         self._power, self._inverse = _powers(_BASE, SLICE_BYTES + 64), _powers(_BASE_INV, SLICE_BYTES + 64)
@@ -110,6 +116,32 @@ class PieceEncoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (uint32), and the count of each text."""
         data, offsets = text_buffers(column)
+        starts, ends, added = self._find_added(data, offsets)
+        if not len(added):
+            return self._encode(data, offsets)
+        # What stands between the added tokens is encoded as texts of their own, then the tokens are put between them.
+        n = len(offsets) - 1
+        doc = np.searchsorted(offsets, starts, "right") - 1
+        gone = np.concatenate([[0], np.cumsum(ends - starts)])
+        inside = np.zeros(len(data) + 1, np.int64)
+        np.add.at(inside, starts, 1)
+        np.add.at(inside, ends, -1)
+        cuts = np.concatenate([offsets - gone[np.searchsorted(starts, offsets, "left")], starts - gone[:-1]])
+        ids, counts = self._encode(data[np.cumsum(inside)[:-1] == 0], np.sort(cuts))
+        ids = np.insert(ids, np.cumsum(counts)[doc + np.arange(len(doc))], added)
+        owner = np.repeat(np.arange(n), 1 + np.bincount(doc, minlength=n))
+        return ids, np.bincount(owner, weights=counts, minlength=n).astype(np.int64) + np.bincount(doc, minlength=n)
+
+    def _find_added(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and ids of the added tokens in the texts."""
+        raw = data.tobytes()
+        found = []
+        if self._any_added and any(x in raw for x in self._added):
+            for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                found += [(m.start(), m.end(), self._added[m[0]]) for m in self._any_added.finditer(raw, i, j)]
+        return tuple(np.array(found, np.int64).reshape(-1, 3).T)
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         counts = np.zeros(len(offsets) - 1, np.int64)
         found, first = [], 0
         while first < len(counts):
