@@ -73,9 +73,9 @@ def decode_failures(spark, d):
     return sessions.decode_errors(decode(broken)).select(F.col("packet_index").alias("seq"), "layer", "code")
 
 
-def _trial(spark: SparkSession, d: str) -> DataFrame:
+def _trial(spark: SparkSession, d: str, part: str = "l_orderkey % 20 = 1") -> DataFrame:
     """Segments of streams made from orders: each order's lines are its data, in pieces that overlap, repeat or come late."""
-    l = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 20 = 1")  # noqa: E741
+    l = spark.read.parquet(f"{d}/lineitem.parquet").where(part)  # noqa: E741
     from pyspark.sql import Window
 
     k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")) - 1
@@ -102,6 +102,29 @@ def reassembly_streams(spark, d):
     return reassembly.streams(_trial(spark, d)).select("key", "state", "ready_bytes")
 
 
+@query("""
+WITH o AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey), s AS (SELECT l_orderkey, n, unnest(range(0, n)) AS k FROM o)
+SELECT 'tcp|' || l_orderkey AS key, k AS seq, CASE k % 5 WHEN 0 THEN 'in_order' WHEN 1 THEN 'in_order' WHEN 2 THEN 'buffered' WHEN 3 THEN 'in_order' ELSE 'retransmission' END AS verdict FROM s""")
+def reassembly_verdicts_all(spark, d):
+    """T1 to T4, T11 over all orders."""
+    return reassembly.verdicts(_trial(spark, d, "true")).select("key", "seq", "verdict")
+
+
+@query("""
+SELECT 'tcp|' || l_orderkey AS key, CASE WHEN n % 5 = 3 THEN 'incomplete' ELSE 'active' END AS state,
+    CAST(n // 5 * 40 + CASE n % 5 WHEN 0 THEN 0 WHEN 1 THEN 10 WHEN 4 THEN 40 ELSE 20 END AS BIGINT) AS ready_bytes
+FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)""")
+def reassembly_streams_all(spark, d):
+    """T8 to T10, T12 over all orders."""
+    return reassembly.streams(_trial(spark, d, "true")).select("key", "state", "ready_bytes")
+
+
+@query("SELECT 'tcp|' || l_orderkey AS key, CASE WHEN n % 5 = 3 THEN 'incomplete' ELSE 'active' END AS state, 'timeout' AS reason FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) WHERE 5000 - (n - 1) * 1000 > 2500")
+def idle_streams_all(spark, d):
+    """T7 over all orders."""
+    return reassembly.idle_streams(reassembly.streams(_trial(spark, d, "true")), 5000, 2500).drop("from_client")
+
+
 @query()
 def builtin_rules(spark, d):
     """The built-in rules over frames of a flood, a sweep, a tunnel and broken packets, evidence and ids included."""
