@@ -32,9 +32,9 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def drafts(spark: SparkSession, d: str) -> DataFrame:
+def drafts(spark: SparkSession, d: str, part: str = "l_orderkey % 50 = 3") -> DataFrame:
     """A draft for each supplier; those without lines of the kind cite nothing."""
-    l = _t(spark, d, "lineitem").where("l_orderkey % 50 = 3")  # noqa: E741
+    l = _t(spark, d, "lineitem").where(part)  # noqa: E741
     key = F.col("l_orderkey").cast("string")
     cites = l.where("l_linenumber = 1").select(F.col("l_suppkey").alias("draft_id"), F.struct(F.concat(F.lit("tc_"), F.when(F.col("l_partkey") % 11 == 0, "-1").otherwise(key)).alias("_id"), F.lit("get").alias("method"), F.when(F.col("l_partkey") % 13 == 0, "c_none").otherwise(F.concat(F.lit("o_"), key)).alias("ref_id")).alias("e"))
     told = l.where("l_linenumber = 2").join(ledger(spark, d).select(F.col("id"), F.col("numbers")["total"].alias("total")), F.concat(F.lit("tc_"), key) == F.col("id"))
@@ -71,6 +71,28 @@ def evidence_index(spark, d):
     return evidence.evidence_index(drafts(spark, d))
 
 
+# The same over the lines of all orders.
+_ALL_CITED, _ALL_ISSUES = (x.replace(" AND l_orderkey % 50 = 3", "") for x in (_CITED, _ISSUES))
+
+
+@query(_ALL_ISSUES + ' SELECT draft_id, "check", count(*) AS n FROM issues GROUP BY draft_id, "check"')
+def evidence_issues_all(spark, d):
+    """J6, J7, V1 to V4 over all orders."""
+    return evidence.issues(drafts(spark, d, "true"), ledger(spark, d), "task").groupBy("draft_id", "check").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_ALL_ISSUES + """ SELECT s.s_suppkey AS draft_id, CASE WHEN bool_or(i."check" <> 'V4') THEN 'rejected' WHEN count(i."check") > 0 THEN 'downgraded' ELSE 'accepted' END AS status FROM supplier s LEFT JOIN issues i ON i.draft_id = s.s_suppkey GROUP BY s.s_suppkey""")
+def evidence_verdicts_all(spark, d):
+    """What becomes of each draft, over all orders."""
+    return evidence.validate(drafts(spark, d, "true"), ledger(spark, d), "task")
+
+
+@query(f"WITH {_ALL_CITED} SELECT DISTINCT call, 'get' AS method, ref FROM cited WHERE draft_id IN (SELECT s_suppkey FROM supplier)")
+def evidence_index_all(spark, d):
+    """U3 over all orders."""
+    return evidence.evidence_index(drafts(spark, d, "true"))
+
+
 @query("SELECT c_custkey AS id, array_to_string(list_sort(list_distinct([CAST(c_custkey AS VARCHAR), CAST(c_custkey * 97 AS VARCHAR)])), ',') AS bad FROM customer WHERE c_custkey NOT IN (SELECT o_orderkey FROM orders) AND c_custkey * 97 NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT c_custkey, CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey NOT IN (SELECT o_orderkey FROM orders) AND c_custkey * 97 IN (SELECT o_orderkey FROM orders) UNION ALL SELECT c_custkey, CAST(c_custkey * 97 AS VARCHAR) FROM customer WHERE c_custkey IN (SELECT o_orderkey FROM orders) AND c_custkey * 97 NOT IN (SELECT o_orderkey FROM orders)")
 def illegal_tokens(spark, d):
     """U4: tokens that no call gave out."""
