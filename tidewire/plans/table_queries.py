@@ -150,6 +150,13 @@ def alerts_by_rule(spark, d):
     return own.groupBy(F.col("event_type").alias("rule_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ",").alias("alerts"))
 
 
+@query("SELECT event_type AS rule_id, event_id // 1000 AS block, array_to_string(list(event_id ORDER BY event_id), ',') AS alerts FROM events GROUP BY event_type, event_id // 1000")
+def alerts_by_rule_all(spark, d):
+    """A11 over all events, in blocks of ids, so that no list grows with the table."""
+    own = _t(spark, d, "events").groupBy(F.col("event_type").alias("rule_id"), F.expr("event_id div 1000").alias("block"))
+    return own.agg(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ",").alias("alerts"))
+
+
 SURFACE = "SELECT n.n_name, r.r_name, rank() OVER (PARTITION BY r.r_name ORDER BY n.n_name) AS place, count(c.c_custkey) AS customers FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name, r.r_name HAVING count(c.c_custkey) > 0"
 
 
@@ -201,6 +208,16 @@ def evaluation_metrics(spark, d):
     return trace.evaluation(own.withColumn("expected", F.array(*map(F.lit, ["view", "click", "error", "view"]))))
 
 
+@query("""WITH c AS (SELECT user_id AS case_id, list_distinct(list(event_type)) AS actual, count(*) FILTER (WHERE event_type = 'view') AS valid, count(*) FILTER (WHERE event_type IN ('view', 'error')) AS findings FROM events GROUP BY user_id)
+SELECT case_id, len(list_intersect(actual, ['view', 'click', 'error'])) / 3.0::DOUBLE AS path_match, CASE WHEN findings = 0 THEN 1.0::DOUBLE ELSE valid / findings::DOUBLE END AS validity FROM c""")
+def evaluation_metrics_all(spark, d):
+    """Expected tools that were used, and findings that hold, over all events."""
+    from ..operators import trace
+
+    own = _t(spark, d, "events").groupBy(F.col("user_id").alias("case_id")).agg(F.collect_set("event_type").alias("actual"), F.count_if(F.col("event_type") == "view").alias("valid"), F.count_if(F.col("event_type").isin("view", "error")).alias("findings"))
+    return trace.evaluation(own.withColumn("expected", F.array(*map(F.lit, ["view", "click", "error", "view"]))))
+
+
 @query("SELECT c.c_custkey AS finding_id, 'o' || k.k AS call, o.o_orderstatus AS method FROM customer c, (SELECT unnest([0, 1, 2]) AS j) j, LATERAL (SELECT c.c_custkey * 31 + j.j * 7 AS k) k LEFT JOIN (SELECT o_orderkey, min(o_orderstatus) AS o_orderstatus FROM orders GROUP BY o_orderkey) o ON o.o_orderkey = k.k")
 def findings_with_trace(spark, d):
     """Citations beside their calls, if there are any."""
