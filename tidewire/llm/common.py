@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than these six; the same class is used by all operators.
@@ -39,6 +39,13 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, name: str = "step", **counts: Column) -> tuple[DataFrame, Row]:
+    """:func:`materialize`, and with it numbers that are gathered while the rows are written: ``n`` and those of ``counts``."""
+    seen = Observation()
+    rows = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(k) for k, c in counts.items()]), name)
+    return rows, Row(**seen.get)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or the first ``name_k`` that no column of ``df`` has, compared without case."""
     taken = {c.lower() for c in df.columns}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, materialize_counted
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,13 +16,13 @@ def components(links: DataFrame) -> DataFrame:
     aggregate with partial sums, or as a join key that adaptive execution may split.
     """
     both = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label"))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("least"))
         hop = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "least").alias("label"))
         # A label is a node as well, so it has a label of its own.
         jump = hop.join(labels.select(F.col("node").alias("label"), F.col("label").alias("far")), "label", "left")
-        step = materialize(jump.select("node", "was", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
-        if not step.where("was <> label").limit(1).count():
-            return step.select("node", "label")
+        step, seen = materialize_counted(jump.select("node", "was", F.least("label", F.coalesce("far", "label")).alias("label")), "labels", changed=F.col("was") != F.col("label"))
         labels = step.select("node", "label")
+        if not seen.changed:
+            return labels

@@ -11,8 +11,8 @@ sum of its buckets' sizes: the text that many others were made from meets more o
 it scores highest. Each member is compared with its bucket's first and last node by score, so the number of comparisons
 grows with the members, not with their pairs, and as the same node leads in all its buckets, a group of copies gives
 few distinct pairs. A pair is judged by the share of equal coordinates if that is far from the threshold, and else by
-its exact similarity. Buckets whose members still lie in more than one class choose further centres, eight times as many
-in each round, until no two members of a bucket that lie in different classes are left uncompared.
+its exact similarity. Members of a bucket that still lie in different classes meet again by the rarest of their shingles,
+which similar texts must share, in rounds of ever more centres until no two of different classes are left.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, free_name, materialize, row_hash, text_or_empty
+from .common import col, free_name, materialize, materialize_counted, row_hash, text_or_empty
 from .components import components
 from .files import release_memory
 from .textstats import SLICE_BYTES, Slice, mix, slices, windows
@@ -170,8 +170,27 @@ DOUBT = 4.0
 BROADCAST_NODES = 100_000
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, bands: Bands, similar: float) -> DataFrame:
-    """The pairs (a, b) that are similar enough."""
+def gram_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(node, grams): the distinct shingles of the texts whose node is in ``wanted``, 8 bytes each, in ascending order."""
+    wanted, seen = materialize_counted(wanted, "wanted")
+    texts = docs.select(node_of(text_or_empty(text)).alias("node"), text_or_empty(text).alias("text"))
+    texts = texts.join(F.broadcast(wanted) if seen.n <= BROADCAST_NODES else wanted, "node", "left_semi")
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, offsets in slices(batch.column("text")):
+                s = Slice.of(data, offsets)
+                owner, gram, _ = shingle_sets(s)
+                ends = np.searchsorted(owner, np.arange(s.n + 1))
+                sets = pa.array([gram[i:j].tobytes() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, last - first), sets], ["node", "grams"])
+            release_memory()
+
+    return materialize(texts.mapInArrow(grams, "node binary, grams binary").groupBy("node").agg(F.first("grams").alias("grams")), "sets")
+
+
+def _judged(pairs: DataFrame, nodes: DataFrame, bands: Bands, similar: float) -> DataFrame:
+    """(a, b, doubt): the pairs that may be similar enough, by equal coordinates; ``doubt`` where these don't decide."""
     doubt = DOUBT * (similar * (1 - similar) / bands.k) ** 0.5
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,26 +209,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, ba
     mark = nodes.select("node", "n", "marks")
     with_a = pairs.join(mark.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("marks").alias("ma")), "a")
     with_b = with_a.join(mark.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("marks").alias("mb")), "b")
-    judged = materialize(with_b.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(estimate, "a binary, b binary, doubt boolean"), "judged")
+    return materialize(with_b.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(estimate, "a binary, b binary, doubt boolean"), "judged")
 
-    unsure = judged.where("doubt").select("a", "b")
-    wanted = materialize(unsure.select(F.col("a").alias("node")).union(unsure.select("b")).distinct(), "wanted")
-    n = wanted.count()
-    texts = docs.select(node_of(text_or_empty(text)).alias("node"), text_or_empty(text).alias("text"))
-    texts = texts.join(F.broadcast(wanted) if n <= BROADCAST_NODES else wanted, "node", "left_semi")
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, data, offsets in slices(batch.column("text")):
-                s = Slice.of(data, offsets)
-                owner, gram, _ = shingle_sets(s)
-                ends = np.searchsorted(owner, np.arange(s.n + 1))
-                sets = pa.array([gram[i:j].tobytes() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, last - first), sets], ["node", "grams"])
-            release_memory()
-
-    sets = texts.mapInArrow(grams, "node binary, grams binary").groupBy("node").agg(F.first("grams").alias("grams"))
-    sets = materialize(sets, "sets")
+def _compared(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) whose exact similarity is high enough."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,18 +224,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, ba
                 keep.append(both >= similar * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    exact = unsure.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b").select("a", "b", "ga", "gb").mapInArrow(compare, "a binary, b binary")
-    return materialize(judged.where("NOT doubt").select("a", "b").unionByName(exact), "links")
-
-
-#: Centres chosen in a bucket, from round to round. A bucket of m members takes about log(m) rounds, links or none.
-GROWTH = 8
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
+    return both.select("a", "b", "ga", "gb").mapInArrow(compare, "a binary, b binary")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label) after more links between the classes of ``labels``."""
-    if not links.limit(1).count():
-        return labels
     for c in ("a", "b"):
         links = links.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
     links = materialize(links, "between")
@@ -240,6 +238,91 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(known.join(found.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels")
 
 
+#: Counters of how often shingles occur, by which they are ordered: 2 MB for each worker, whatever the input.
+COUNTERS = 1 << 18
+#: A group has up to GROWTH centres in the first round, and GROWTH times as many in each further one.
+GROWTH = 64
+
+
+def rare_shingles(sets: DataFrame, similar: float) -> DataFrame:
+    """(key, node, n, rest): the rarest shingles of each node, ``rest`` of whose n come no earlier, itself included.
+
+    The order is the same for all nodes: by a counter that the shingle shares with others by its hash, then by the
+    shingle. If a and b are similar enough, they have at least similar / (1 + similar) * (n_a + n_b) shingles in
+    common, so for the first one in the order that they share, both rests are at least that, and it is among the
+    first n - similar * n + 1 of either. A shingle that nothing else shares a counter with is left out.
+    """
+    spark = sets.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for g in batch.column("grams").to_pylist():
+                np.add.at(table, (np.frombuffer(g, np.uint64) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+        used = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(table[used])], ["place", "n"])
+
+    counted = sets.select("grams").mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(COUNTERS, np.int64)
+    table[counted.column("place").to_numpy()] = counted.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(table)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            keys, places, sizes, rests = [], [], [], []
+            for k, g in enumerate(batch.column("grams").to_pylist()):
+                x = np.frombuffer(g, np.uint64)
+                n = len(x)
+                if not n:
+                    continue
+                times = often[(x & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                order = np.lexsort((x, times))[: n - int(np.ceil(similar * n - 1e-9)) + 1]
+                at = np.flatnonzero(times[order] > 1)
+                keys.append(x[order[at]].view(np.int64))
+                places.append(np.full(len(at), k))
+                sizes.append(np.full(len(at), n, np.int32))
+                rests.append((n - at).astype(np.int32))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column("node").take(pa.array(np.concatenate(places))), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(rests))], ["key", "node", "n", "rest"])
+
+    return materialize(sets.mapInArrow(rarest, "key long, node binary, n int, rest int"), "rare")
+
+
+def _rest_of_large_buckets(left: DataFrame, labels: DataFrame, docs: DataFrame, text: str, similar: float) -> DataFrame:
+    """``labels`` after all further links among the nodes of ``left`` (key, node), buckets with members that haven't met.
+
+    A bucket doesn't say which of its members are similar, so what its members share is looked at more closely: nodes
+    meet again if they share a shingle that is rare enough in both (:func:`rare_shingles`). Texts of one template
+    that differ in more than the threshold allows no longer meet, whatever their number.
+    """
+
+    def unlike(rows: DataFrame) -> DataFrame:
+        own = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("members")).where("x <> y").select("key", "members")
+        return own.join(mixed, "key")
+
+    sets = gram_sets(docs, text, unlike(left).select("node").distinct())
+    left = rare_shingles(sets, similar)
+    slots = GROWTH
+    while True:
+        sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+        named, seen = materialize_counted(unlike(left).join(sizes, "label", "left").select("key", "node", "n", "rest", "label", "members", F.coalesce("size", F.lit(1)).alias("size")), "named")
+        if not seen.n:
+            return labels
+        # Members of the smallest classes have most to meet; among them, the one that shares most.
+        few = F.col("members") <= slots
+        best = named.groupBy("key", F.when(few, F.col("node")).alias("own"), F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(F.max(F.struct((-F.col("size")).alias("size"), "rest", "node", "n", "label")).alias("c"))
+        centres = best.select(F.col("key").alias("c_key"), F.col("c.node").alias("c"), F.col("c.n").alias("c_n"), F.col("c.rest").alias("c_rest"), F.col("c.label").alias("c_label"))
+        able = (F.col("label") != F.col("c_label")) & (F.least("rest", "c_rest") >= similar / (1 + similar) * (F.col("n") + F.col("c_n")) - 1e-9)
+        pairs = named.join(centres, (F.col("key") == F.col("c_key")) & able).select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+        links, seen = materialize_counted(_compared(pairs, sets, similar), "links")
+        if seen.n:
+            labels = _merged(labels, links)
+        left = named.where(~few).join(centres.select(F.col("c_key").alias("key"), F.col("c").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n", "rest")
+        slots *= GROWTH
+
+
 def node_classes(docs: DataFrame, text: str = "text", bands: Bands | None = None, similar: float = SIMILAR, weighted: bool = False) -> DataFrame:
     """(node, label): the class of each distinct text of ``docs``; a node without links is its own label."""
     bands = bands or Bands()
@@ -247,32 +330,16 @@ def node_classes(docs: DataFrame, text: str = "text", bands: Bands | None = None
     rows = nodes.select("node", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(rows.join(sizes, "key").select("key", "node", "n"), "shared")
-    met = materialize(shared.join(shared.groupBy("node").agg(F.sum("n").alias("score")), "node").select("key", "n", F.struct("score", "node").alias("m")), "met")
+    met = shared.join(shared.groupBy("node").agg(F.sum("n").alias("score")), "node").select("key", "n", F.struct("score", "node").alias("m"))
     ends = met.groupBy("key").agg(F.max("m").alias("hi"), F.min("m").alias("lo"))
-    placed = materialize(met.join(ends, "key").select("key", "n", "m", F.col("hi.node").alias("hi"), F.col("lo.node").alias("lo")), "placed")
-    tried = materialize(_pairs(placed.withColumn("node", F.col("m.node")), ["hi", "lo"]), "pairs")
-    links = _verified(tried, nodes, docs, text, bands, similar)
-    # Members that have not met all others of their bucket; up to three members have.
-    left = placed.withColumn("node", F.col("m.node")).where("n > 3 AND node <> hi AND node <> lo").select("key", "m", "node")
-    labels = components(links)
-    slots = 1
-    while True:
-        size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-        own = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        named = materialize(own.join(mixed, "key").join(size, "label", "left").select("key", "m", "node", "label", F.coalesce("size", F.lit(1)).alias("size")), "named")
-        if not named.limit(1).count():
-            break
-        # Members of the smallest classes have most to meet; among them, the first by score.
-        best = named.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(F.max(F.struct((-F.col("size")).alias("size"), "m", "label")).alias("c"))
-        centre = materialize(best.select("key", F.col("c.m.node").alias("centre"), F.col("c.label").alias("centre_label")), "centres")
-        around = named.join(centre, "key").where("label <> centre_label")
-        pairs = materialize(_pairs(around, ["centre"]).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.limit(1).count():
-            labels = _merged(labels, _verified(pairs, nodes, docs, text, bands, similar))
-            tried = tried.unionByName(pairs)
-        left = named.join(centre.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti").select("key", "m", "node")
-        slots *= GROWTH
+    placed = materialize(met.join(ends, "key").select("key", "n", F.col("m.node").alias("node"), F.col("hi.node").alias("hi"), F.col("lo.node").alias("lo")), "placed")
+    judged = _judged(_pairs(placed, ["hi", "lo"]), nodes, bands, similar)
+    unsure = judged.where("doubt").select("a", "b")
+    sets = gram_sets(docs, text, unsure.select(F.col("a").alias("node")).union(unsure.select("b")).distinct())
+    labels = components(judged.where("NOT doubt").select("a", "b").unionByName(_compared(unsure, sets, similar)))
+    # Up to three members of a bucket have all met now.
+    left = placed.where("n > 3 AND node <> hi AND node <> lo").select("key", "node")
+    labels = _rest_of_large_buckets(left, labels, docs, text, similar)
     return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
@@ -291,13 +358,24 @@ def near_classes(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each class: the least id (null last), then the least row hash; equal rows collapse."""
-    best = near_classes(docs, text, **options).select(F.col("_best.doc_id").alias("_bid"), F.col("_best._h").alias("_bh")).distinct()
+    """``docs`` with one row of each class: the least id (null last), then the least row hash; equal rows collapse.
+
+    Whole rows move once, by their id and hash, at every size of the table. Columns of any name pass through.
+    """
+    best_id, best_hash, id_, h = (free_name(docs, x) for x in ("_bid", "_bh", "_id", "_hash"))
+    near = near_classes(docs, text, **options)
+    best = materialize(near.select(F.col("_best.doc_id").alias(best_id), F.col("_best._h").alias(best_hash)).distinct(), "best")
     key = col("doc_id").cast("long") if "doc_id" in docs.columns else F.lit(None).cast("long")
-    id_, h, n = (free_name(docs, x) for x in ("_id", "_hash", "_n"))
     keyed = docs.withColumn(id_, key).withColumn(h, row_hash(docs))
-    kept = keyed.join(best, col(id_).eqNullSafe(F.col("_bid")) & (col(h) == F.col("_bh")), "left_semi")
-    again = materialize(keyed.groupBy(id_, h).agg(F.count(F.lit(1)).alias(n)).where(col(n) > 1), "repeated")
-    if again.limit(1).count():  # rows that are stored more than once
-        kept = kept.groupBy(col(id_), col(h)).agg(*[F.first(col(c)).alias(c) for c in docs.columns])
-    return kept.select(*[col(c) for c in docs.columns])
+    same = lambda x, y: col(id_).eqNullSafe(col(x)) & (col(h) == col(y))
+    # Rows that are stored more than once.
+    again = materialize(near.groupBy("doc_id", "_h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(best_id), F.col("_h").alias(best_hash)), "repeated")
+    if not again.limit(1).count():
+        return keyed.join(best.hint("shuffle_hash"), same(best_id, best_hash), "left_semi").select(*[col(c) for c in docs.columns])
+    both = [col(best_id), col(best_hash)]
+    gone = [F.col("_gid").eqNullSafe(both[0]), F.col("_gh") == both[1]]
+    once = best.join(again.select(both[0].alias("_gid"), both[1].alias("_gh")), gone, "left_anti")
+    twice = best.join(again.select(both[0].alias("_gid"), both[1].alias("_gh")), gone, "left_semi")
+    whole = keyed.join(once.hint("shuffle_hash"), same(best_id, best_hash), "left_semi").select(*[col(c) for c in docs.columns])
+    folded = keyed.join(twice, same(best_id, best_hash), "left_semi").groupBy(col(id_), col(h)).agg(*[F.first(col(c)).alias(c) for c in docs.columns])
+    return whole.unionByName(folded.select(*[col(c) for c in docs.columns]))
