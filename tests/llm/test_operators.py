@@ -171,30 +171,58 @@ def test_packing_of_odd_rows(spark, tokenizer):
     assert packing.packed_documents(empty(spark)).count() == 0
 
 
-def test_best_fit_plan():
+def plain_best_fit(lengths, size):
+    gaps = []
+    for length in sorted(lengths, reverse=True):
+        fit = [g for g in gaps if g >= length]
+        if fit:
+            gaps.remove(min(fit))
+        gaps.append((min(fit) if fit else size) - length)
+    return len(gaps)
+
+
+def check_places(lengths, places, size):
+    bins = collections.defaultdict(list)
+    for k, sequence, offset in places:
+        bins[sequence].append((offset, lengths[k]))
+    assert sorted(k for k, _, _ in places) == list(range(len(lengths)))
+    for own in bins.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in itertools.pairwise(own)) and sum(x[1] for x in own) <= size
+    return len(bins)
+
+
+def test_best_fit():
     r = random.Random(1)
     for _ in range(30):
         size = r.choice([8, 64, 1024])
-        counts = collections.Counter(r.randint(1, size) for _ in range(r.randrange(400)))
-        bins, seen = collections.defaultdict(list), collections.Counter()
-        for length, first, n, sequence, offset in packing.best_fit_plan(counts, size):
-            assert first == seen[length]
-            seen[length] += n
-            for k in range(n):
-                bins[sequence + k].append((offset, length))
-        assert +seen == +counts
-        for own in bins.values():
-            assert sorted(own)[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in itertools.pairwise(sorted(own))) and sum(x[1] for x in own) <= size
-        # Best fit by single documents does no better.
-        gaps = []
-        for length in sorted(counts.elements(), reverse=True):
-            fit = [g for g in gaps if g >= length]
-            if fit:
-                gaps.remove(min(fit))
-                gaps.append(min(fit) - length)
-            else:
-                gaps.append(size - length)
-        assert len(bins) == len(gaps)
+        lengths = sorted((r.randint(1, size) for _ in range(r.randrange(400))), reverse=True)
+        places, left, gaps = packing.best_fit(lengths, list(range(len(lengths))), [], size, 0)
+        assert not left and check_places(lengths, places, size) == plain_best_fit(lengths, size)
+        assert sum(g for g, _ in gaps) == size * len({x for _, x, _ in places}) - sum(lengths)
+    # With a bar, short pieces wait and gaps are taken, the smallest that holds a piece first.
+    places, left, gaps = packing.best_fit([9, 5, 3], [1, 2, 3], [(4, 70), (3, 71)], 10, 6)
+    assert places == [(0, 1, 0), (2, 71, 7)] and left == [1] and sorted(gaps) == [(1, 1), (4, 70)]
+
+
+def test_cells_and_successors():
+    plan = packing.cells({9: 10, 8: 1, 7: 1, 3: 25}, 10, most=10)
+    assert (plan.first[9], plan.first[8], plan.first[7], plan.first[3]) == (0, 1, 1, 2) and plan.parts[3] == 3 and plan.least == [9, 7, 3, 3, 3]
+    # Cell 2 hands on 5 pieces of up to 4: cell 1 has a gap for two of them, cell 0 one for three and more.
+    runs = packing.successors([(0, 0, 0, 2, 12), (1, 0, 0, 1, 9), (2, 5, 4, 0, 0)])
+    assert runs == [(2, 0, 2, 1, 0, 2), (2, 2, 5, 0, 0, 3)]
+    assert packing.successors([(0, 3, 5, 0, 0)]) == []
+
+
+@pytest.mark.parametrize("kind", ["wide", "middle", "one length"])
+def test_rounds_over_many_cells(spark, kind):
+    r = random.Random(4)
+    lengths = {"wide": [min(1023, int(r.lognormvariate(5.2, 1.1)) + 1) for _ in range(3000)], "middle": [r.randint(100, 512) for _ in range(2000)], "one length": [70] * 1500}[kind]
+    frame = spark.createDataFrame(list(enumerate(lengths)), "id long, n int").repartition(3, "id").cache()
+    got = [(x.id, x.sequence, x.offset) for x in packing.places(frame, cell_rows=150).collect()]
+    assert check_places(lengths, got, 1024) <= 1.01 * plain_best_fit(lengths, 1024) + 12
+    if kind == "middle":  # whatever the order of rows
+        assert sorted(got) == sorted((x.id, x.sequence, x.offset) for x in packing.places(frame.orderBy("n"), cell_rows=150).collect())
 
 
 def test_ranks_are_gapless(spark):
