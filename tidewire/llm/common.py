@@ -61,10 +61,20 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(col(name).cast("string"), F.lit(""))
 
 
-def row_hash(df: DataFrame, but: Sequence[str] = ()) -> Column:
-    """A 64-bit hash over all columns that can be hashed; rows that are equal throughout have equal hashes."""
+def row_hash(df: DataFrame, but: Sequence[str] = (), seed: int | None = None) -> Column:
+    """A 64-bit hash over all columns that can be hashed; rows that are equal throughout have equal hashes. Another seed gives another hash."""
     fit = [f.name for f in df.schema.fields if f.name not in but and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    return F.xxhash64(*[col(x) for x in fit]) if fit else F.lit(0).cast("long")
+    columns = [col(x) for x in fit] if seed is None else [F.lit(seed), *map(col, fit)]
+    return F.xxhash64(*columns) if columns else F.lit(0).cast("long")
+
+
+#: Rows of a cell that :func:`ranked` numbers in one task, if salts are chosen by :func:`salts_for`.
+CELL = 2_000_000
+
+
+def salts_for(rows: int, least: int = 64) -> int:
+    """Salts for a group of up to ``rows`` rows, so that a cell stays small however large the group is."""
+    return max(least, -(-rows // CELL))
 
 
 def ranked(df: DataFrame, group: Sequence[str], within: Sequence[Column], salt_of: Column, rank: str, salts: int = 64, strata: Column | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, col, free_name, materialize, ranked, row_hash, text_or_empty
+from .common import WORD, col, free_name, materialize, materialize_counted, ranked, row_hash, salts_for, text_or_empty
 
 #: Weights by the source's place in code point order (null last), repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -81,12 +81,12 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", weights: tu
         names[k] = free_name(docs, k)
     out = Mixed(**names)
     narrow = docs.select(col(source).cast("string").alias("source"), word_count(text_or_empty(text)).alias("_size"), row_hash(docs).alias("_hash"), F.struct(*[col(c) for c in keep]).alias("_row"))
-    narrow = materialize(narrow, "sized")
+    narrow, seen = materialize_counted(narrow, "sized")
     sizes = narrow.groupBy("source").agg(F.sum("_size").cast("long").alias("source_size"))
     targets = materialize(source_targets(sizes, weights, most), "targets")
     # Strata from large to small: an eighth of a doubling each.
     stratum = -F.floor(F.log2(F.col("_size") + F.lit(1.0)) * 8).cast("int")
-    row = ranked(narrow, ["source"], [F.col("_size").desc(), F.col("_hash")], F.col("_hash"), "_rank", salts=64, strata=stratum)
+    row = ranked(narrow, ["source"], [F.col("_size").desc(), F.col("_hash")], F.col("_hash"), "_rank", salts=salts_for(seen.n), strata=stratum)
     joined = row.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
     # The offset is a multiple of 2^-16, so that adding whole expected copies stays exact.
     offset = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))), F.lit(65536)) / 65536.0
@@ -100,14 +100,19 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", weights: tu
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus itself: each row as often as the mix takes it, with the columns of ``docs``.
 
-    The mix is computed over narrow rows that carry only a 64-bit hash of theirs, so whole rows move once, for the
-    join that repeats them. Rows that are equal throughout share the copies of all of them.
+    The mix is computed over narrow rows that carry 128 bits of hashes of theirs, so whole rows move once, for the
+    join that repeats them, in one way at every size. Rows that are equal throughout share the copies of all of
+    them. Null texts and texts without words have size 0 and are taken like others of their size; null sources are
+    a source. An empty table stays empty; columns of any name pass through.
     """
-    key, copies, rows = (free_name(docs, x) for x in ("_mix_key", "_mix_copies", "_mix_rows"))
-    keyed = docs.withColumn(key, row_hash(docs))
-    out, names = mix(keyed, keep=[key], **options)
-    counts = materialize(out.groupBy(col(key)).agg(F.sum(col(names.copies)).alias(copies), F.count(F.lit(1)).alias(rows)), "copies")
-    if counts.where(col(rows) > 1).limit(1).count():  # rows that are stored more than once
-        keyed = keyed.groupBy(col(key)).agg(*[F.first(col(c)).alias(c) for c in docs.columns])
-    taken = counts.where(col(copies) > 0).select(col(key), col(copies))
-    return keyed.join(taken, key).withColumn(rows, F.explode(F.sequence(F.lit(1).cast("long"), col(copies)))).select(*[col(c) for c in docs.columns])
+    key, more, copies, rows = (free_name(docs, x) for x in ("_mix_key", "_mix_more", "_mix_copies", "_mix_rows"))
+    keyed = docs.withColumn(key, row_hash(docs)).withColumn(more, row_hash(docs, seed=SEED))
+    out, names = mix(keyed, keep=[key, more], **options)
+    counts, seen = materialize_counted(out.groupBy(col(key), col(more)).agg(F.sum(col(names.copies)).alias(copies), F.count(F.lit(1)).alias(rows)), "copies", again=col(rows) > 1)
+    taken = counts.where(col(copies) > 0)
+    whole = keyed.join(taken.where(col(rows) == 1).drop(rows).hint("shuffle_hash"), [key, more])
+    if seen.again:  # rows that are stored more than once become one row first; only these are grouped
+        again = keyed.join(taken.where(col(rows) > 1).drop(rows).hint("shuffle_hash"), [key, more])
+        again = again.groupBy(col(key), col(more)).agg(*[F.first(col(c)).alias(c) for c in (*docs.columns, copies)])
+        whole = whole.unionByName(again)
+    return whole.withColumn(rows, F.explode(F.sequence(F.lit(1).cast("long"), col(copies)))).select(*[col(c) for c in docs.columns])
