@@ -31,13 +31,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "quality",
     """Features and labels of a bounded sample of labelled rows, the same in every run.
 
     Rows with a null id or a label other than 0 and 1 teach nothing. The sample's ids are at most ``rows``, so
-    they are broadcast to the one scan that computes their statistics.
+    they are broadcast to the one scan that finds their texts. An id that several rows have stands for the least of
+    their texts.
     """
     ids = labels.select(col("doc_id").cast("long").alias("_id"), col(label).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)")
     if keep_out:
         ids = ids.where(~held_out(F.col("_id")))
     ids = ids.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    texts = docs.select(col("doc_id").cast("long").alias("_id"), text_or_empty().alias("_text")).join(F.broadcast(ids), "_id").select("_id", "_y", "_text")
+    texts = docs.select(col("doc_id").cast("long").alias("_id"), text_or_empty().alias("_text")).join(F.broadcast(ids), "_id").groupBy("_id").agg(F.first("_y").alias("_y"), F.min("_text").alias("_text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,7 +46,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "quality",
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], ["_id", "_y", "_x"])
         release_memory()
 
-    got = texts.mapInArrow(measure, "_id long, _y int, _x array<double>").limit(2 * rows).toArrow()
+    got = texts.mapInArrow(measure, "_id long, _y int, _x array<double>").toArrow()
     x = np.array(got["_x"].to_pylist(), float).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T[::-1], got["_id"].to_numpy()))  # the same rows in the same order, however they came
     return x[order], got["_y"].to_numpy()[order].astype(float)
@@ -143,7 +144,6 @@ PREDICT_AT = 0.3
 def with_quality_score(df: DataFrame, model: RuleEnsemble, predict_at: float = PREDICT_AT) -> tuple[DataFrame, dict[str, str]]:
     """Adds score (0 to 1) and predicted (0 or 1) under free names. Null and empty texts have statistics of zero and a score too."""
     wide, names = with_statistics(df)
-    score, predicted = free_name(df, "score"), free_name(df, "predicted")
-    out = wide.withColumn("_score_", model.column(names)).drop(*[names[c] for c in (*COUNTS, *FEATURES)])
-    out = out.withColumnRenamed("_score_", score)
+    score, predicted, raw = free_name(df, "score"), free_name(df, "predicted"), free_name(wide, "_score")
+    out = wide.withColumn(raw, model.column(names)).drop(*[names[c] for c in (*COUNTS, *FEATURES)]).withColumnRenamed(raw, score)
     return out.withColumn(predicted, F.when(col(score) >= predict_at, 1).otherwise(0)), {"score": score, "predicted": predicted}
