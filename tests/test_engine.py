@@ -161,3 +161,80 @@ def test_streams_equal_batch(spark, tmp_path):
     q = windows.idle_sessions(stream, "1 hour").writeStream.format("memory").queryName("idle_q").outputMode("append").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("idle_q").count() > 0
+
+
+def test_data_in_order_have_no_limit():
+    s, piece = Stream(), b"z" * 65536
+    assert {s.feed((1000 + k * len(piece)) & 0xFFFFFFFF, piece)[0] for k in range(320)} == {"in_order"}  # 20 MiB
+    assert s.state() == "active" and s.ready_total == 320 * len(piece) and not s.held
+    s, v = fed((0, b"a"), *[(10 + 20 * k, b"b" * 10) for k in range(5)], (1, b"c" * 9), limits=Limits(max_segments=3))
+    assert s.overflow and s.held == sum(len(d) for _, d in s.waiting) and len(s.waiting) <= 3
+
+
+def test_placing_against_a_plain_map():
+    """Random pieces, with either copy winning, against bytes by position."""
+    import random
+
+    r = random.Random(6)
+    for first_wins in (True, False):
+        for _ in range(60):
+            s, plain = Stream(first_wins=first_wins), {}
+            s.feed(0, b"s")
+            for _ in range(30):
+                at, data = r.randint(2, 80), bytes(r.choices(b"abcdef", k=r.randint(1, 15)))
+                s.feed(at, data)
+                for k, c in enumerate(data):
+                    if at + k not in plain or not first_wins:
+                        plain[at + k] = c
+                assert {a + k: c for a, d in s.waiting for k, c in enumerate(d)} == plain and s.held == len(plain)
+                assert all(a + len(d) <= b for (a, d), (b, _) in zip(s.waiting, s.waiting[1:]))
+
+
+def test_several_captures_are_one_task(spark, tmp_path):
+    frames = list(synth.traffic("http", 60))
+    (tmp_path / "a.pcap").write_bytes(synth.classic_file(frames))
+    (tmp_path / "b.pcapng").write_bytes(synth.block_file(frames[:25]))
+    alone = Engine(spark).analyze(str(tmp_path / "a.pcap"))
+    both = Engine(spark).analyze(str(tmp_path))
+    assert both.packets.count() == 85 and both.packets.select("packet_index").distinct().count() == 85
+    assert both.segments.count() == alone.segments.count() + both.segments.where("seq >= 60").count() and both.events.count() == 85
+    assert both.packets.where("payload_ref IS NOT NULL AND payload_ref.packet_index <> packet_index").count() == 0
+    assert [(r["first"], r.packets) for r in both.files.orderBy("path").collect()] == [(0, 60), (60, 25)]
+    assert alone.packets_digest and both.packets_digest is None
+    alone.close(), both.close()
+
+
+def test_notes_of_the_reader(spark, tmp_path):
+    from tidewire.sources.capture import read_notes
+
+    whole = synth.block_file(list(synth.traffic("dns", 3)), extra=[(0x0BAD, b"1234")])
+    (tmp_path / "a.pcapng").write_bytes(whole)
+    got = {(r.kind, r.times) for r in read_notes(spark, str(tmp_path)).collect()}
+    assert any(n >= 1 for _, n in got)
+
+
+def test_stored_answers_of_a_task_that_is_gone(spark, tmp_path):
+    (tmp_path / "a.pcap").write_bytes(synth.classic_file(list(synth.traffic("syn-flood", 300))))
+    held = store.Store(spark, str(tmp_path / "store"))
+    engine = Engine(spark, stored=held)
+    task = engine.analyze(str(tmp_path / "a.pcap"), "task_a")
+    live = engine.check_alerts("task_a")
+    assert live["content"]["source"] == "memory" and live["content"]["rows"]
+    task.persist(held)
+    del engine.tasks["task_a"]
+    cold = engine.check_alerts("task_a")
+    assert cold["content"]["source"] == "database" and cold["_id"] == "tc-cold-task_a"
+    assert [r["id"] for r in cold["content"]["rows"]] == [r["id"] for r in live["content"]["rows"]]
+    assert len(engine.query_history("task_a", "sessions", 5)) == 5 and engine.query_history("task_a", "alerts")
+    assert not engine.check_alerts("task_a", session_id="S-999999")["content"]["rows"]
+    with pytest.raises(InvalidArgument):
+        Engine(spark).check_alerts("task_a")
+    task.close()
+
+
+def test_migrations(spark, tmp_path):
+    held = store.Store(spark, str(tmp_path))
+    held.write("alerts", spark.createDataFrame([("a1", "t", 1)], "id string, task_id string, first_ts long"))
+    assert [v for v, _ in held.migration_status()["pending"]] == [1, 2]
+    assert [v for v, _ in held.apply_migrations()] == [1, 2] and held.apply_migrations() == []
+    assert held.read("alerts").columns == ["id", "task_id", "first_ts", "session_id"] and held.read("alerts").count() == 1

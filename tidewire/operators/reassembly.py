@@ -7,10 +7,11 @@ together in file order (a sort, not a list), and the fold holds one session at a
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +27,16 @@ class Limits:
     max_segments: int = MAX_SEGMENTS
 
 
+def _start(piece: tuple[int, bytes]) -> int:
+    return piece[0]
+
+
 @dataclass
 class Stream:
-    """One direction. ``waiting`` has (offset, data) of what lies beyond a hole, apart and in order."""
+    """One direction. ``waiting`` has (offset, data) of what lies beyond a hole, apart and in order.
+
+    The limits bound what waits; data in order go out at once, however many there are.
+    """
 
     limits: Limits = field(default_factory=Limits)
     first_wins: bool = True
@@ -38,6 +46,7 @@ class Stream:
     waiting: list[tuple[int, bytes]] = field(default_factory=list)
     ready: bytearray = field(default_factory=bytearray)
     ready_total: int = 0
+    held: int = 0
     overflow: bool = False
     fin: bool = False
     rst: bool = False
@@ -74,12 +83,15 @@ class Stream:
     def _place(self, at: int, data: bytes) -> int:
         """Puts in what is new and tells how many bytes that was. Where data meet, the first or the last copy stays."""
         end = at + len(data)
+        lo = max(0, bisect_right(self.waiting, at, key=_start) - 1)
+        if lo < len(self.waiting) and self.waiting[lo][0] + len(self.waiting[lo][1]) <= at:
+            lo += 1
+        hi = bisect_left(self.waiting, end, lo=lo, key=_start)
+        met = self.waiting[lo:hi]
         kept, pieces, cursor = [], [], at
-        for start, old in self.waiting:
+        for start, old in met:
             stop = start + len(old)
-            if stop <= at or start >= end:
-                kept.append((start, old))
-            elif self.first_wins:
+            if self.first_wins:
                 if cursor < start:
                     pieces.append((cursor, data[cursor - at : start - at]))
                 cursor = max(cursor, stop)
@@ -91,22 +103,23 @@ class Stream:
                     kept.append((end, old[end - start :]))
         if cursor < end:
             pieces.append((cursor, data[cursor - at :]))
-        self.waiting = sorted(kept + pieces, key=lambda p: p[0])
+        put = sorted(kept + pieces, key=_start)
+        self.waiting[lo:hi] = put
+        self.held += sum(len(d) for _, d in put) - sum(len(d) for _, d in met)
         return sum(len(p) for _, p in pieces)
 
     def _bound(self) -> None:
-        held = self.ready_total + sum(len(d) for _, d in self.waiting)
-        while self.waiting and (held > self.limits.max_bytes or len(self.waiting) > self.limits.max_segments):
+        while self.waiting and (self.held > self.limits.max_bytes or len(self.waiting) > self.limits.max_segments):
             _, gone = self.waiting.pop(0)
-            held -= len(gone)
+            self.held -= len(gone)
             self.overflow = True
-        self.overflow = self.overflow or held > self.limits.max_bytes
 
     def _advance(self) -> None:
         k = 0
         while k < len(self.waiting) and self.waiting[k][0] == self.done:
             data = self.waiting[k][1]
             self.done += len(data)
+            self.held -= len(data)
             self.ready_total += len(data)
             room = len(data) if self.keep is None else max(0, self.keep - len(self.ready))
             self.ready += data[:room]
@@ -144,38 +157,32 @@ def tcp_segments(packets: DataFrame) -> DataFrame:
     from .sessions import canonical, flat_packets
 
     data = F.when(F.col("payload_ref").isNotNull(), F.substring(F.col("raw"), (F.col("payload_ref.offset") + 1).cast("int"), F.col("payload_ref.length").cast("int"))).otherwise(F.lit(b""))
-    flat = canonical(flat_packets(packets)).select("seq", "from_a", session_key(F.col("proto"), F.col("a_ip"), F.col("a_port"), F.col("b_ip"), F.col("b_port")).alias("key"))
-    own = packets.where("network.protocol = 'tcp' AND NOT network.is_fragment AND transport.seq IS NOT NULL").select(F.col("packet_index").alias("seq"), "ts_ns", F.col("transport.seq").alias("tcp_seq"), F.array_contains("transport.flags", "SYN").alias("syn"), F.array_contains("transport.flags", "ACK").alias("ack"), F.array_contains("transport.flags", "FIN").alias("fin"), F.array_contains("transport.flags", "RST").alias("rst"), data.alias("data"))
-    return own.join(flat, "seq")
+    flag = lambda name: F.array_contains("transport.flags", name)
+    own = packets.where("network.protocol = 'tcp' AND NOT network.is_fragment AND transport.seq IS NOT NULL")
+    flat = flat_packets(own, F.col("transport.seq").alias("tcp_seq"), flag("SYN").alias("syn"), flag("ACK").alias("ack"), flag("FIN").alias("fin"), flag("RST").alias("rst"), data.alias("data"))
+    key = session_key(F.col("proto"), F.col("a_ip"), F.col("a_port"), F.col("b_ip"), F.col("b_port"))
+    return canonical(flat).select("seq", "ts_ns", "tcp_seq", "syn", "ack", "fin", "rst", "data", "from_a", key.alias("key"))
 
 
 VERDICTS = "key string, seq long, from_a boolean, direction string, verdict string, amount long"
 STREAMS = "key string, from_client boolean, state string, session_state string, ready_bytes long, last_ts long, missing array<struct<start:long,end:long>>, data binary"
 
 
-def _fold(rows: Iterator[tuple], limits: Limits, first_wins: bool, keep: int | None):
-    """Yields (key, streams, verdicts) of each session, whose segments come together in file order.
+@dataclass
+class _Session:
+    """A session while its segments come, in file order.
 
     A segment belongs to the direction by the client known when it arrives: the last bare SYN's sender so far, or else
     the sender of the first segment.
     """
-    key, client, streams, verdicts = None, None, {}, []
-    for k, seq, from_a, ts, tcp_seq, syn, ack, fin, rst, data in rows:
-        if k != key:
-            if key is not None:
-                yield key, streams, verdicts
-            key, client, streams, verdicts = k, None, {}, []
-        if client is None or (syn and not ack):
-            client = from_a
-        up = from_a == client
-        stream = streams.setdefault(up, Stream(limits, first_wins, keep))
-        verdict, amount = stream.feed(int(tcp_seq), bytes(data), int(ts), bool(syn), bool(fin), bool(rst))
-        verdicts.append((k, seq, from_a, "client_to_server" if up else "server_to_client", verdict, amount))
-    if key is not None:
-        yield key, streams, verdicts
+
+    client: bool
+    streams: dict[bool, Stream] = field(default_factory=dict)
 
 
 COLUMNS = ["key", "seq", "from_a", "ts_ns", "tcp_seq", "syn", "ack", "fin", "rst", "data"]
+#: Rows, and bytes of data, of an Arrow batch that goes out.
+BATCH, BATCH_BYTES = 10_000, 16 << 20
 
 
 def _together(segments: DataFrame) -> DataFrame:
@@ -183,30 +190,67 @@ def _together(segments: DataFrame) -> DataFrame:
     return segments.select(*COLUMNS).repartition("key").sortWithinPartitions("key", "seq")
 
 
-def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+def _fed(batches: Iterator[pa.RecordBatch], limits: Limits, first_wins: bool, keep: int | None) -> Iterator[tuple]:
+    """Yields (key, session, None) when a session ends, and (key, session, verdict row) for each segment; one session is held at a time."""
+    key, own = None, None
     for batch in batches:
-        yield from batch[COLUMNS].itertuples(index=False, name=None)
+        for k, seq, from_a, ts, tcp_seq, syn, ack, fin, rst, data in zip(*(batch.column(c).to_pylist() for c in COLUMNS), strict=True):
+            if own is None or k != key:
+                if own is not None:
+                    yield key, own, None
+                key, own = k, _Session(from_a)
+            if syn and not ack:
+                own.client = from_a
+            up = from_a == own.client
+            stream = own.streams.get(up) or own.streams.setdefault(up, Stream(limits, first_wins, keep))
+            verdict, amount = stream.feed(tcp_seq, data, ts, syn, fin, rst)
+            yield key, own, (k, seq, from_a, "client_to_server" if up else "server_to_client", verdict, amount)
+    if own is not None:
+        yield key, own, None
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size_of=lambda row: 0) -> Iterator[pa.RecordBatch]:
+    """Rows of any number of sessions in Arrow batches of bounded size."""
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += size_of(row)
+        if len(held) == BATCH or n > BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+_VERDICTS = pa.schema([("key", pa.string()), ("seq", pa.int64()), ("from_a", pa.bool_()), ("direction", pa.string()), ("verdict", pa.string()), ("amount", pa.int64())])
+_STREAMS = pa.schema(
+    [("key", pa.string()), ("from_client", pa.bool_()), ("state", pa.string()), ("session_state", pa.string()), ("ready_bytes", pa.int64()), ("last_ts", pa.int64()), ("missing", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("data", pa.binary())]
+)
 
 
 def verdicts(segments: DataFrame, limits: Limits | None = None, first_wins: bool = True) -> DataFrame:
     """What became of each segment: in_order, buffered, retransmission or partial_overlap."""
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, _, found in _fold(_rows(batches), limits or Limits(), first_wins, 0):
-            yield pd.DataFrame(found, columns=["key", "seq", "from_a", "direction", "verdict", "amount"])
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches((row for _, _, row in _fed(batches, limits or Limits(), first_wins, 0) if row), _VERDICTS)
+
+    return _together(segments).mapInArrow(fold, VERDICTS)
+
 
-    return _together(segments).mapInPandas(fold, VERDICTS)
+def _ends(key: str, session: _Session) -> Iterator[tuple]:
+    both = worst(*(s.state() for s in session.streams.values()))
+    for up, s in sorted(session.streams.items(), reverse=True):
+        yield key, up, s.state(), both, s.ready_total, s.last_ts, [{"start": a, "end": b} for a, b in s.missing()], bytes(s.ready)
 
 
 def streams(segments: DataFrame, limits: Limits | None = None, first_wins: bool = True, keep: int | None = 0) -> DataFrame:
     """One row for each direction of each session, with up to ``keep`` bytes of its data (None: all)."""
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for key, found, _ in _fold(_rows(batches), limits or Limits(), first_wins, keep):
-            both = worst(*(s.state() for s in found.values()))
-            yield pd.DataFrame([(key, up, s.state(), both, s.ready_total, s.last_ts, [{"start": a, "end": b} for a, b in s.missing()], bytes(s.ready)) for up, s in sorted(found.items(), reverse=True)], columns=["key", "from_client", "state", "session_state", "ready_bytes", "last_ts", "missing", "data"])
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = (row for key, session, verdict in _fed(batches, limits or Limits(), first_wins, keep) if verdict is None for row in _ends(key, session))
+        yield from _batches(ends, _STREAMS, lambda row: len(row[-1]))
 
-    return _together(segments).mapInPandas(fold, STREAMS)
+    return _together(segments).mapInArrow(fold, STREAMS)
 
 
 def with_verdict_counts(sessions: DataFrame, found: DataFrame) -> DataFrame:

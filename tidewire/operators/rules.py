@@ -131,6 +131,22 @@ def window_values(events: DataFrame, window_ns: int, metric: str = "count", fiel
     return out.where("NOT ahead").drop("stretch", "ahead")
 
 
+#: Decode errors of a group are counted in stretches of this many packets.
+ERRORS_A_STRETCH = 1 << 20
+
+
+def running_counts(events: DataFrame) -> DataFrame:
+    """The number of events of its group up to each event, by seq; equal ones count one after the other.
+
+    A group is counted in stretches of packets, and stretches are added up as one row each, so no group is in one task.
+    """
+    cut = events.withColumn("_s", floor_div("seq", ERRORS_A_STRETCH))
+    counts = cut.groupBy("grp", "_s").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(F.col("grp").alias("_g"), F.col("_s").alias("_gs"), (F.sum("_n").over(Window.partitionBy("grp").orderBy("_s")) - F.col("_n")).alias("_before"))
+    own = cut.withColumn("_k", F.row_number().over(Window.partitionBy("grp", "_s").orderBy("seq")))
+    return own.join(before, (F.col("grp") == F.col("_g")) & (F.col("_s") == F.col("_gs"))).withColumn("value", (F.col("_before") + F.col("_k")).cast("double")).drop("_s", "_k", "_g", "_gs", "_before")
+
+
 def cooled(candidates: DataFrame, cooldown_ns: int) -> DataFrame:
     """The candidates that fire: the first of a group, and then the first at or after each one's cooldown.
 
@@ -186,7 +202,7 @@ def evaluate(events: DataFrame, rule: Rule, flush: bool = False, with_evidence:
     their own (ts 0), so their windows never slide and count all there is.
     """
     own = matched_events(events, rule)
-    values = window_values(own, rule.window_ns, rule.metric, rule.field_gt)
+    values = running_counts(own) if rule.decode_scope and rule.metric == "count" else window_values(own, rule.window_ns, rule.metric, rule.field_gt)
     over = values.where(threshold_met(F.col("value"), rule.operator, rule.value)).select("grp", "seq", "ts_ns", "now_ns", "value")
     if flush:
         final = events.agg(F.max("now_ns" if "now_ns" in events.columns else "ts_ns").alias("_final"))

@@ -11,7 +11,7 @@ partition one row from each task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bare_syn, flags_to_mask, floor_div, ip_key, session_key, syn_ack
@@ -19,8 +19,8 @@ from ..functions.scalars import bare_syn, flags_to_mask, floor_div, ip_key, sess
 TRANSPORTS = ("tcp", "udp", "icmp", "icmpv6")
 
 
-def flat_packets(packets: DataFrame) -> DataFrame:
-    """The flat contract of decoded packets. ICMP has port 0 on both sides; ARP has no endpoints."""
+def flat_packets(packets: DataFrame, *more: Column) -> DataFrame:
+    """The flat contract of decoded packets, and ``more`` of their columns. ICMP has port 0 on both sides; ARP has no endpoints."""
     net, tp = F.col("network"), F.col("transport")
     is_ip = net["protocol"] != "arp"
     return packets.select(
@@ -40,6 +40,7 @@ def flat_packets(packets: DataFrame) -> DataFrame:
         F.get(F.col("link")["vlan_ids"], F.lit(0)).alias("vlan"),
         net["ip_version"].alias("ip_version"),
         F.col("link").isNotNull().alias("has_link"),
+        *more,
     )
 
 
@@ -178,6 +179,11 @@ def capture_summary(packets: DataFrame, sessions_frame: DataFrame | None = None,
     return base
 
 
+def incomplete_sessions(frame: DataFrame) -> DataFrame:
+    """The number of sessions (with ``state``) whose data could not be put together completely."""
+    return frame.agg(F.count_if(F.col("state").isin("incomplete", "buffer_overflow")).alias("incomplete_sessions"))
+
+
 def protocols_map(summary: DataFrame) -> DataFrame:
     """The summary's transport counts as a map of those there are."""
     pairs = F.array(*[F.struct(F.lit(p), F.col(p)) for p in TRANSPORTS])
@@ -190,8 +196,9 @@ def error_counts(errors: DataFrame, n: int | None = None) -> DataFrame:
     return out.limit(n) if n is not None else out
 
 
-def decode_errors(packets: DataFrame) -> DataFrame:
-    return packets.select("packet_index", F.explode("errors").alias("e")).select("packet_index", "e.*")
+def decode_errors(packets: DataFrame, *more: str) -> DataFrame:
+    """A row for each error of a packet, with ``more`` of the packet's columns."""
+    return packets.select("packet_index", F.explode("errors").alias("e"), *more).select("packet_index", "e.*", *more)
 
 
 def sessions_by_protocol(frame: DataFrame) -> DataFrame:

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from ..schemas import KEEP_FIRST, STORED_KEYS
 
 SQL_MOST = 10_000
+#: Changes of the stored tables' form: version, what it does, and the columns that it adds.
+MIGRATIONS = (
+    (1, "eight tables", {}),
+    (2, "alerts name their session", {"alerts": {"session_id": "string"}}),
+)
 
 
 def upsert(old: DataFrame | None, new: DataFrame, keys: list[str], keep_first: bool = False) -> DataFrame:
@@ -53,6 +58,33 @@ class Store:
         merged = upsert(self.read(table), rows, STORED_KEYS[table], table in KEEP_FIRST)
         merged.write.parquet(f"{self.folder}/{table}/v{(self._versions(table) or [0])[-1] + 1}")
 
+    def migration_status(self) -> dict[str, list[tuple[int, str]]]:
+        """The migrations that are applied and those that are pending, in order of version."""
+        frame = self._applied()
+        done = {r.version for r in frame.collect()} if frame is not None else set()  # a row a migration
+        told = [(v, text) for v, text, _ in MIGRATIONS]
+        return {"applied": [m for m in told if m[0] in done], "pending": [m for m in told if m[0] not in done]}
+
+    def _applied(self) -> DataFrame | None:
+        versions = self._versions("_migrations")
+        return self.spark.read.parquet(f"{self.folder}/_migrations/v{versions[-1]}") if versions else None
+
+    def apply_migrations(self) -> list[tuple[int, str]]:
+        """Brings stored tables to the newest form and tells which migrations ran; a second time none does."""
+        pending = self.migration_status()["pending"]
+        for version, text, columns in MIGRATIONS:
+            if (version, text) not in pending:
+                continue
+            for table, added in columns.items():
+                frame = self.read(table)
+                missing = {c: kind for c, kind in added.items() if frame is not None and c not in frame.columns}
+                if missing:
+                    wide = frame.withColumns({c: F.lit(None).cast(kind) for c, kind in missing.items()})
+                    wide.write.parquet(f"{self.folder}/{table}/v{self._versions(table)[-1] + 1}")
+            old, new = self._applied(), self.spark.createDataFrame([(version, text)], "version int, description string")
+            (new if old is None else old.unionByName(new)).write.parquet(f"{self.folder}/_migrations/v{(self._versions('_migrations') or [0])[-1] + 1}")
+        return pending
+
     def views(self) -> list[str]:
         """Registers what is stored as temporary views for SQL."""
         out = []

@@ -12,13 +12,13 @@ import uuid
 from collections import OrderedDict
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import evidence, filters, reassembly, rules, sessions, store
 from ..operators.rule_files import RuleSet, load_rules
-from ..schemas import LEDGER
+from ..schemas import LEDGER, PACKETS
 from ..sources.capture import read_captures
 from ..sources.decode import APPS, decode
 
@@ -47,23 +47,36 @@ class Task:
     rule_set: RuleSet
     calls: list[dict] = field(default_factory=list)
     found: list[dict] = field(default_factory=list)
+    kept: DataFrame | None = None
+    files: DataFrame | None = None
+    packets_digest: str | None = None
 
     def __post_init__(self):
+        # Decoded once, and kept while the task is; executors that are lost decode their part again.
+        if self.kept is None:
+            self.kept = self.packets = self.packets.persist()
+        app = F.col("application")
+        asked = [app["dns"]["qname"].alias("dns_qname"), app["dns"]["qname_len"].alias("dns_qname_len"), app["dns"]["entropy"].alias("dns_entropy"), app["dns"]["txt_len"].alias("dns_txt_len"), app["tls"]["sni"].alias("tls_sni")]
         self.flat = sessions.flat_packets(self.packets)
-        self.events = self._events()
+        self.events = sessions.flat_packets(self.packets, *asked)
         self.segments = reassembly.tcp_segments(self.packets)
         self.streams = reassembly.streams(self.segments)
         base = sessions.with_session_ids(sessions.sessions(self.flat))
         self.sessions = reassembly.with_states(reassembly.with_verdict_counts(base, reassembly.verdicts(self.segments)), self.streams)
-        self.errors = sessions.decode_errors(self.packets).join(self.packets.select("packet_index", "ts_ns"), "packet_index")
+        self.errors = sessions.decode_errors(self.packets, "ts_ns")
         self.stats = sessions.protocol_stats(self.flat)
 
-    def _events(self) -> DataFrame:
-        app = self.packets.select(F.col("packet_index").alias("seq"), F.col("application.dns.qname").alias("dns_qname"), F.col("application.dns.qname_len").alias("dns_qname_len"), F.col("application.dns.entropy").alias("dns_entropy"), F.col("application.dns.txt_len").alias("dns_txt_len"), F.col("application.tls.sni").alias("tls_sni"))
-        return self.flat.join(app, "seq")
+    def close(self) -> None:
+        self.kept.unpersist()
 
     def _alerts(self) -> DataFrame:
-        return rules.evaluate_all(self.events, list(self.rule_set), self.errors, self.sessions)
+        """All alerts; those of rules over sessions that group by session name theirs."""
+        found = rules.evaluate_all(self.events, list(self.rule_set), self.errors, self.sessions)
+        own = [r.id for r in self.rule_set if r.scope == "session" and list(r.group_by) == ["session"]]
+        if not own:
+            return found.withColumn("session_id", F.lit(None).cast("string"))
+        named = self.sessions.select(X.group_key(session=F.col("key")).alias("_grp"), F.col("id").alias("session_id"))
+        return found.join(named, (F.col("grp") == F.col("_grp")) & F.col("rule_id").isin(own), "left").drop("_grp")
 
     # ---- the envelope and the ledger
 
@@ -86,6 +99,7 @@ class Task:
         t = time.time()
         alerts = self.spark.createDataFrame([], "id string")
         row = _plain(sessions.capture_summary(self.flat, self.sessions, alerts).drop("alerts").first())
+        row["incomplete_sessions"] = sessions.incomplete_sessions(self.sessions).first()["incomplete_sessions"]
         row["protocols"] = {p: row[p] for p in sessions.TRANSPORTS if row.get(p)}
         cited = ("packets", "bytes", "sessions", "truncated", "decode_errors", "tcp", "udp")
         return self._answer("get_capture_summary", {}, row, numbers={k: row.get(k, 0) for k in cited}, began=t)
@@ -128,10 +142,10 @@ class Task:
         content = _plain(out) if out else {"bytes": 0, "state": "new", "missing": []}
         return self._answer("reconstruct_stream", {"session_id": session_id, "from_client": from_client}, content, [session_id], {"bytes": content["bytes"]})
 
-    def alerts(self, severity: str | None = None, rule_id: str | None = None, limit: int = 1000) -> dict:
-        own = filters.filter_alerts(self._alerts().withColumn("session_id", F.lit(None).cast("string")), severity, rule_id, limit=limit)
+    def alerts(self, severity: str | None = None, rule_id: str | None = None, limit: int = 1000, session_id: str | None = None) -> dict:
+        own = filters.filter_alerts(self._alerts(), severity, rule_id, session_id, limit=limit)
         rows = [_plain(r) for r in own.collect()]
-        return self._answer("check_alerts", {"severity": severity, "rule_id": rule_id}, {"rows": rows}, [r["id"] for r in rows], {f"{r['id']}.value": r["value"] for r in rows})
+        return self._answer("check_alerts", {"severity": severity, "rule_id": rule_id, "session_id": session_id}, {"rows": rows}, [r["id"] for r in rows], {f"{r['id']}.value": r["value"] for r in rows})
 
     def check_rules(self) -> dict:
         rows = [{"id": r.id, "version": r.version, "severity": r.severity, "hash": r.hash, "name": r.name} for r in self.rule_set]
@@ -201,8 +215,6 @@ class Task:
             rows = [(f["id"], self.id, f.get("title"), f.get("severity"), f.get("basis"), f.get("summary"), f["status"]) for f in self.found]
             to.write("findings", self.spark.createDataFrame(rows, "id string, task_id string, title string, severity string, basis string, summary string, status string"))
 
-    packets_digest: str | None = None
-
     def event_stream(self, emit: str = "all") -> DataFrame:
         """All events as (stage, seq, event, body) to be ordered by stage and seq: capture, errors and packets, sessions, alerts, end."""
         body = lambda df, *drop: F.to_json(F.struct(*[c for c in df.columns if c not in drop]))
@@ -224,8 +236,8 @@ class Task:
 class Engine:
     """Analyzes captures and holds the last eight tasks."""
 
-    def __init__(self, spark: SparkSession, rules_folder: str | None = None, strict: bool = True, apps=APPS):
-        self.spark, self.apps = spark, apps
+    def __init__(self, spark: SparkSession, rules_folder: str | None = None, strict: bool = True, apps=APPS, stored: store.Store | None = None):
+        self.spark, self.apps, self.stored = spark, apps, stored
         self.rule_set = load_rules(rules_folder, strict)
         self.tasks: OrderedDict[str, Task] = OrderedDict()
 
@@ -235,14 +247,55 @@ class Engine:
     ping = version
 
     def analyze(self, path: str, task_id: str | None = None) -> Task:
-        raw = read_captures(self.spark, path)
-        task = Task(self.spark, task_id or f"task_{uuid.uuid4().hex[:26]}", path, decode(raw, self.apps), self.rule_set)
+        """One capture, or all that a pattern names: then their packets are numbered on, file after file by path."""
+        packets = decode(read_captures(self.spark, path), self.apps, more=["path", "sha256"]).persist()
+        files = packets.groupBy("path", "sha256").agg((F.max("packet_index") + 1).alias("packets"))
+        files = files.withColumn("first", F.sum("packets").over(Window.orderBy("path")) - F.col("packets"))  # a row a file
+        first = files.select(F.col("path").alias("_path"), "first")
+        index = F.col("packet_index") + F.col("first")
+        ref = F.when(F.col("payload_ref").isNotNull(), F.col("payload_ref").withField("packet_index", index))
+        numbered = packets.join(first, F.col("path") == F.col("_path")).withColumns({"packet_index": index, "payload_ref": ref})
+        digests = [r.sha256 for r in files.select("sha256").limit(2).collect()]
+        task = Task(self.spark, task_id or f"task_{uuid.uuid4().hex[:26]}", path, numbered.select(*[f.name for f in PACKETS.fields]), self.rule_set, kept=packets, files=files, packets_digest=digests[0] if len(digests) == 1 else None)
         self.tasks[task.id] = task
         while len(self.tasks) > TASKS_HELD:
-            self.tasks.popitem(last=False)
+            self.tasks.popitem(last=False)[1].close()
         return task
 
     def task(self, task_id: str) -> Task:
         if task_id not in self.tasks:
             raise InvalidArgument(f"no task {task_id}")
         return self.tasks[task_id]
+
+    def _of_task(self, table: str, task_id: str) -> DataFrame:
+        """What is stored of a task that isn't in memory."""
+        frame = self.stored.read(table) if self.stored else None
+        if frame is None or "task_id" not in frame.columns:
+            raise InvalidArgument(f"no task {task_id}")
+        return frame.where(F.col("task_id") == task_id)
+
+    def check_alerts(self, task_id: str, severity: str | None = None, rule_id: str | None = None, session_id: str | None = None, limit: int = 50) -> dict:
+        """A task's alerts, from memory, or else from the stored tables; ``source`` says which."""
+        if task_id in self.tasks:
+            answer = self.tasks[task_id].alerts(severity, rule_id, limit, session_id)
+            return answer | {"content": answer["content"] | {"source": "memory"}}
+        own = filters.filter_alerts(self._of_task("alerts", task_id), severity, rule_id, session_id, stored=True, limit=limit)
+        rows = [_plain(r) for r in own.collect()]
+        # No ledger in memory can vouch for the call, so it has a fixed id.
+        return {"_id": f"tc-cold-{task_id}", "source": "engine", "trusted_as_instruction": False, "redactions": 0, "method": "check_alerts", "content": {"source": "database", "rows": rows}}
+
+    def query_history(self, task_id: str, kind: str, limit: int = 20) -> list[dict]:
+        """trace, findings, alerts or sessions of a task, from memory, or else from the stored tables."""
+        if task_id in self.tasks:
+            return self.tasks[task_id].history(kind, limit)
+        tables = {"trace": "tool_calls", "findings": "findings", "alerts": "alerts", "sessions": "sessions"}
+        if kind not in tables:
+            raise InvalidArgument(f"kind {kind!r}")
+        own = self._of_task(tables[kind], task_id)
+        if kind == "alerts":
+            own = filters.filter_alerts(own, stored=True, limit=limit)
+        elif kind == "sessions":
+            own = store.stored_sessions(own, limit=limit)
+        else:
+            own = own.orderBy("ts_unix_ns" if kind == "trace" else "id", "id").limit(limit)
+        return [_plain(r) for r in own.collect()]

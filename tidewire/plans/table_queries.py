@@ -16,8 +16,8 @@ def _t(spark, d, name):
 
 # Orders play the calls of a ledger: each gave out its customer and its total. Lineitems play citations and claims.
 _LEDGER = """ledger AS (SELECT 'tc_' || o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'other' ELSE 'task' END AS task_id, ['c_' || o_custkey, 'o_' || o_orderkey] AS ref_ids, floor(o_totalprice) AS total FROM (SELECT o_orderkey, min(o_custkey) AS o_custkey, min(o_totalprice) AS o_totalprice FROM orders GROUP BY o_orderkey))"""
-_CITED = """cited AS (SELECT DISTINCT l_suppkey AS draft_id, 'tc_' || CASE WHEN l_partkey % 11 = 0 THEN -1 ELSE l_orderkey END AS call, CASE WHEN l_partkey % 13 = 0 THEN 'c_none' ELSE 'o_' || l_orderkey END AS ref FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 50 = 3)"""
-_CLAIMS = """claims AS (SELECT DISTINCT l_suppkey AS draft_id, 'tc_' || l_orderkey AS call, l_orderkey, l_partkey % 17 = 0 AS wrong FROM lineitem WHERE l_linenumber = 2 AND l_orderkey % 50 = 3)"""
+_CITED = """cited AS (SELECT DISTINCT l_suppkey AS draft_id, 'tc_' || CASE WHEN l_partkey % 11 = 0 THEN -1 ELSE l_orderkey END AS call, CASE WHEN l_partkey % 13 = 0 THEN 'c_none' ELSE 'o_' || l_orderkey END AS ref FROM lineitem WHERE l_linenumber = 1)"""
+_CLAIMS = """claims AS (SELECT DISTINCT l_suppkey AS draft_id, 'tc_' || l_orderkey AS call, l_orderkey, l_partkey % 17 = 0 AS wrong FROM lineitem WHERE l_linenumber = 2)"""
 
 
 def ledger(spark: SparkSession, d: str) -> DataFrame:
@@ -32,9 +32,9 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def drafts(spark: SparkSession, d: str, part: str = "l_orderkey % 50 = 3") -> DataFrame:
+def drafts(spark: SparkSession, d: str) -> DataFrame:
     """A draft for each supplier; those without lines of the kind cite nothing."""
-    l = _t(spark, d, "lineitem").where(part)  # noqa: E741
+    l = _t(spark, d, "lineitem")  # noqa: E741
     key = F.col("l_orderkey").cast("string")
     cites = l.where("l_linenumber = 1").select(F.col("l_suppkey").alias("draft_id"), F.struct(F.concat(F.lit("tc_"), F.when(F.col("l_partkey") % 11 == 0, "-1").otherwise(key)).alias("_id"), F.lit("get").alias("method"), F.when(F.col("l_partkey") % 13 == 0, "c_none").otherwise(F.concat(F.lit("o_"), key)).alias("ref_id")).alias("e"))
     told = l.where("l_linenumber = 2").join(ledger(spark, d).select(F.col("id"), F.col("numbers")["total"].alias("total")), F.concat(F.lit("tc_"), key) == F.col("id"))
@@ -71,28 +71,6 @@ def evidence_index(spark, d):
     return evidence.evidence_index(drafts(spark, d))
 
 
-# The same over the lines of all orders.
-_ALL_CITED, _ALL_ISSUES = (x.replace(" AND l_orderkey % 50 = 3", "") for x in (_CITED, _ISSUES))
-
-
-@query(_ALL_ISSUES + ' SELECT draft_id, "check", count(*) AS n FROM issues GROUP BY draft_id, "check"')
-def evidence_issues_all(spark, d):
-    """J6, J7, V1 to V4 over all orders."""
-    return evidence.issues(drafts(spark, d, "true"), ledger(spark, d), "task").groupBy("draft_id", "check").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(_ALL_ISSUES + """ SELECT s.s_suppkey AS draft_id, CASE WHEN bool_or(i."check" <> 'V4') THEN 'rejected' WHEN count(i."check") > 0 THEN 'downgraded' ELSE 'accepted' END AS status FROM supplier s LEFT JOIN issues i ON i.draft_id = s.s_suppkey GROUP BY s.s_suppkey""")
-def evidence_verdicts_all(spark, d):
-    """What becomes of each draft, over all orders."""
-    return evidence.validate(drafts(spark, d, "true"), ledger(spark, d), "task")
-
-
-@query(f"WITH {_ALL_CITED} SELECT DISTINCT call, 'get' AS method, ref FROM cited WHERE draft_id IN (SELECT s_suppkey FROM supplier)")
-def evidence_index_all(spark, d):
-    """U3 over all orders."""
-    return evidence.evidence_index(drafts(spark, d, "true"))
-
-
 @query("SELECT c_custkey AS id, array_to_string(list_sort(list_distinct([CAST(c_custkey AS VARCHAR), CAST(c_custkey * 97 AS VARCHAR)])), ',') AS bad FROM customer WHERE c_custkey NOT IN (SELECT o_orderkey FROM orders) AND c_custkey * 97 NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT c_custkey, CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey NOT IN (SELECT o_orderkey FROM orders) AND c_custkey * 97 IN (SELECT o_orderkey FROM orders) UNION ALL SELECT c_custkey, CAST(c_custkey * 97 AS VARCHAR) FROM customer WHERE c_custkey IN (SELECT o_orderkey FROM orders) AND c_custkey * 97 NOT IN (SELECT o_orderkey FROM orders)")
 def illegal_tokens(spark, d):
     """U4: tokens that no call gave out."""
@@ -143,16 +121,9 @@ def alert_filter_stored(spark, d):
     return filters.filter_alerts(own, "low", stored=True).drop("session_id")
 
 
-@query("SELECT event_type AS rule_id, array_to_string(list(event_id ORDER BY event_id), ',') AS alerts FROM events WHERE event_id % 100 = 0 GROUP BY event_type")
-def alerts_by_rule(spark, d):
-    """Alerts listed by rule."""
-    own = _t(spark, d, "events").where("event_id % 100 = 0")
-    return own.groupBy(F.col("event_type").alias("rule_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ",").alias("alerts"))
-
-
 @query("SELECT event_type AS rule_id, event_id // 1000 AS block, array_to_string(list(event_id ORDER BY event_id), ',') AS alerts FROM events GROUP BY event_type, event_id // 1000")
-def alerts_by_rule_all(spark, d):
-    """A11 over all events, in blocks of ids, so that no list grows with the table."""
+def alerts_by_rule(spark, d):
+    """Alerts listed by rule, in blocks of ids, so that no list grows with the table."""
     own = _t(spark, d, "events").groupBy(F.col("event_type").alias("rule_id"), F.expr("event_id div 1000").alias("block"))
     return own.agg(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ",").alias("alerts"))
 
@@ -198,22 +169,12 @@ def agent_counters(spark, d):
     return trace.counters(own)
 
 
-@query("""WITH c AS (SELECT user_id AS case_id, list_distinct(list(event_type)) AS actual, count(*) FILTER (WHERE event_type = 'view') AS valid, count(*) FILTER (WHERE event_type IN ('view', 'error')) AS findings FROM events WHERE event_id % 20 = 0 GROUP BY user_id)
+@query("""WITH c AS (SELECT user_id AS case_id, list_distinct(list(event_type)) AS actual, count(*) FILTER (WHERE event_type = 'view') AS valid, count(*) FILTER (WHERE event_type IN ('view', 'error')) AS findings FROM events GROUP BY user_id)
 SELECT case_id, len(list_intersect(actual, ['view', 'click', 'error'])) / 3.0::DOUBLE AS path_match, CASE WHEN findings = 0 THEN 1.0::DOUBLE ELSE valid / findings::DOUBLE END AS validity FROM c""")
 def evaluation_metrics(spark, d):
     """Expected tools that were used, and findings that hold."""
     from ..operators import trace
 
-    own = _t(spark, d, "events").where("event_id % 20 = 0").groupBy(F.col("user_id").alias("case_id")).agg(F.collect_set("event_type").alias("actual"), F.count_if(F.col("event_type") == "view").alias("valid"), F.count_if(F.col("event_type").isin("view", "error")).alias("findings"))
-    return trace.evaluation(own.withColumn("expected", F.array(*map(F.lit, ["view", "click", "error", "view"]))))
-
-
-@query("""WITH c AS (SELECT user_id AS case_id, list_distinct(list(event_type)) AS actual, count(*) FILTER (WHERE event_type = 'view') AS valid, count(*) FILTER (WHERE event_type IN ('view', 'error')) AS findings FROM events GROUP BY user_id)
-SELECT case_id, len(list_intersect(actual, ['view', 'click', 'error'])) / 3.0::DOUBLE AS path_match, CASE WHEN findings = 0 THEN 1.0::DOUBLE ELSE valid / findings::DOUBLE END AS validity FROM c""")
-def evaluation_metrics_all(spark, d):
-    """Expected tools that were used, and findings that hold, over all events."""
-    from ..operators import trace
-
     own = _t(spark, d, "events").groupBy(F.col("user_id").alias("case_id")).agg(F.collect_set("event_type").alias("actual"), F.count_if(F.col("event_type") == "view").alias("valid"), F.count_if(F.col("event_type").isin("view", "error")).alias("findings"))
     return trace.evaluation(own.withColumn("expected", F.array(*map(F.lit, ["view", "click", "error", "view"]))))
 

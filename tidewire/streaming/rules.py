@@ -69,32 +69,35 @@ class WindowState:
 
 
 class RuleProcessor(StatefulProcessor):
-    def __init__(self, rule: Rule, ttl_ms: int | None = None):
-        self.rule, self.ttl_ms = rule, ttl_ms
+    def __init__(self, rule: Rule, ttl_ms: int | None = None, strict: bool = False):
+        self.rule, self.ttl_ms, self.strict = rule, ttl_ms, strict
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "ts array<long>, x array<string>, b array<long>, until long, newest long", **({"ttlDurationMs": self.ttl_ms} if self.ttl_ms else {}))
+        self.state = handle.getValueState("window", "ts array<long>, x array<string>, b array<long>, until long, newest long, degraded boolean", **({"ttlDurationMs": self.ttl_ms} if self.ttl_ms else {}))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         held = self.state.get() if self.state.exists() else None
-        window = WindowState(self.rule, *(held or ()))
+        window = WindowState(self.rule, *(held[:5] if held else ()), strict=self.strict)
+        window.degraded = bool(held and held[5])
         events = pd.concat(list(rows)).sort_values(["ts_ns", "seq"], kind="stable")  # the rows of one key in one micro-batch
         out = []
         for e in events.itertuples(index=False):
             value = window.feed(int(e.ts_ns), None if pd.isna(e.x) else str(e.x), int(e.bytes))
             if window.fires(value, int(e.now_ns)):
-                out.append((key[0], int(e.seq), int(e.ts_ns), int(e.now_ns), value))
-        self.state.update((window.ts, window.x, window.b, window.until, window.newest))
-        yield pd.DataFrame(out, columns=["grp", "seq", "ts_ns", "now_ns", "value"])
+                out.append((key[0], int(e.seq), int(e.ts_ns), int(e.now_ns), value, window.degraded))
+        self.state.update((window.ts, window.x, window.b, window.until, window.newest, window.degraded))
+        columns = ["grp", "seq", "ts_ns", "now_ns", "value", "degraded"]
+        yield pd.DataFrame(out, columns=columns)[columns if self.strict else columns[:-1]]
 
     def close(self) -> None:
         pass
 
 
-def stream_alerts(events: DataFrame, rule: Rule, ttl_ms: int | None = None) -> DataFrame:
+def stream_alerts(events: DataFrame, rule: Rule, ttl_ms: int | None = None, strict: bool = False) -> DataFrame:
     """Alerts of a streaming event table in append mode. The match filters before rows move to their group's state.
 
-    Needs the RocksDB state store. ``ttl_ms`` forgets groups that are idle for so long.
+    Needs the RocksDB state store. ``ttl_ms`` forgets groups that are idle for so long. ``strict`` holds a window to
+    4,096 events; alerts of a group that had more are marked in a further column, ``degraded``.
     """
     own = matched_events(events, rule).withColumn("x", F.col("x").cast("string"))
-    return own.groupBy("grp").transformWithStateInPandas(statefulProcessor=RuleProcessor(rule, ttl_ms), outputStructType=ALERTS, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+    return own.groupBy("grp").transformWithStateInPandas(statefulProcessor=RuleProcessor(rule, ttl_ms, strict), outputStructType=ALERTS + (", degraded boolean" if strict else ""), outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
