@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,29 +17,70 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or on a local master a new local one where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tidewire-", dir=os.environ.get("TIDEWIRE_LOCAL_SCRATCH"))
         spark.sparkContext.setCheckpointDir(folder)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return folder
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark reads it by, so that files written beside Spark land in the same store."""
+    return _path(spark, path)[1].toString()
+
+
+def _path(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store, store.makeQualified(hadoop)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/tidewire/{name}-{uuid.uuid4().hex}"
+    return f"{qualified(spark, shared_folder(spark)).rstrip('/')}/tidewire/{name}-{uuid.uuid4().hex}"
+
+
+_STEPS: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def passing_steps(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that :func:`materialize` writes inside, at the end: what is wanted of them must be written before."""
+    _STEPS.append([])
+    try:
+        yield
+    finally:
+        for path in _STEPS.pop():
+            store, at = _path(spark, path)
+            store.delete(at, True)
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends here, on storage that outlives executors."""
     path = new_folder(df.sparkSession, name)
+    if _STEPS:
+        _STEPS[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts_for(df: DataFrame, part_bytes: int = 256 << 20) -> int:
+    """Partitions for a shuffle of all of ``df``: those of the session, or more if its sources would make them larger than ``part_bytes``.
+
+    What sources hold is Spark's estimate, of files their size; one that it doesn't know counts as nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    known = sum(n for n in sizes if n < 1 << 60)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // part_bytes))
+
+
 def materialize_counted(df: DataFrame, name: str = "step", **counts: Column) -> tuple[DataFrame, Row]:
     """:func:`materialize`, and with it numbers that are gathered while the rows are written: ``n`` and those of ``counts``."""
     seen = Observation()

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, free_name, materialize, new_folder, text_or_empty
+from .common import col, free_name, materialize, new_folder, parts_for, qualified, text_or_empty
 from .files import WholeFile, open_store
 
 UNIT = 64
@@ -108,7 +108,7 @@ def store_payloads(df: DataFrame, folder: str, text: str = "text") -> tuple[Data
     for name, kind in (x.strip().split(" ") for x in POINTERS.split(",")):
         names[name] = free_name(wide, name)
         wide = wide.withColumn(names[name], F.lit(None).cast(kind))
-    schema = wide.schema
+    schema, folder = wide.schema, qualified(df.sparkSession, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, uri, n, held = None, "", 0, []
@@ -144,9 +144,10 @@ FEATURES = "digest binary, shard string, offset long, length long, width int, he
 
 
 def _by_shard(objects: DataFrame) -> DataFrame:
-    """Objects in runs of one shard, in the order of their places."""
-    n = int(objects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return objects.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset")
+    """Objects in runs of one shard, in the order of their places. Shards go by a number, as the ranges' samples reach the driver."""
+    number = free_name(objects, "_shard")
+    dealt = objects.withColumn(number, F.xxhash64("shard"))
+    return dealt.repartitionByRange(parts_for(objects), number, "offset").sortWithinPartitions(number, "shard", "offset").drop(number)
 
 
 def read_metadata(objects: DataFrame) -> DataFrame:
@@ -201,10 +202,8 @@ def read_objects(objects: DataFrame) -> DataFrame:
 def media_columns(df: DataFrame, folder: str | None = None, text: str = "text") -> DataFrame:
     """Stores the texts and returns the other columns with the pointers, the metadata and the features of the stored form."""
     pointers, n = store_payloads(df, folder or new_folder(df.sparkSession, "media"), text)
-    about = materialize(read_objects(objects_of(pointers, n)), "objects").withColumnRenamed("digest", "_d")
     own = pointers.drop(n["shard"], n["offset"], n["length"])
-    taken = {c.lower() for c in own.columns}
+    about = materialize(read_objects(objects_of(pointers, n)), "objects")
     for c in about.columns:  # clashing names of the caller's columns stay theirs
-        if c.lower() in taken and c != "_d":
-            about = about.withColumnRenamed(c, free_name(own, c))
-    return own.join(about, col(n["digest"]) == F.col("_d")).drop("_d")
+        about = about.withColumnRenamed(c, free_name(own, c if c != "digest" else "_object"))
+    return own.join(about, col(n["digest"]) == col(free_name(own, "_object"))).drop(free_name(own, "_object"))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, text_or_empty
+from .common import new_folder, parts_for, qualified, text_or_empty
 from .files import WholeFile, open_store
 from .tokens import default_vocabulary, encoder, with_end
 
@@ -146,11 +146,12 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
     """Encodes ``docs`` (doc_id, text) and writes shards into ``folder``; returns the manifest, a row for each shard.
 
     Each document's ids end with id 2. Null texts are empty, null ids come first, equal ids stay in the order of
-    their text's hash, an empty table gives no shard, and other columns are ignored. The number of shards is that of
-    shuffle partitions unless given. A task that runs again writes the same bytes under the same name.
+    their text's hash, an empty table gives no shard, and other columns are ignored. The number of shards, unless given,
+    is that of shuffle partitions or more, so that a shard has about 256 MB of input at most. A task that runs again
+    writes the same bytes under the same name.
     """
     spark, path = docs.sparkSession, vocabulary or default_vocabulary()
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, folder = shards or parts_for(docs), qualified(spark, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, out = TaskContext.get().partitionId(), None
