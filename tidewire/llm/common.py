@@ -7,7 +7,7 @@ import itertools
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -103,6 +103,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(col(name).cast("string"), F.lit(""))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once; inside a lambda an outer expression would be computed for each element."""
+    return F.transform(F.array(value), then)[0]
+
+
 def row_hash(df: DataFrame, but: Sequence[str] = (), seed: int | None = None) -> Column:
     """A 64-bit hash over all columns that can be hashed; rows that are equal throughout have equal hashes. Another seed gives another hash."""
     fit = [f.name for f in df.schema.fields if f.name not in but and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]

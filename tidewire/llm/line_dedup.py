@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, free_name, materialize, row_hash, text_or_empty
+from .common import col, free_name, let, materialize, row_hash, text_or_empty
 
 WINDOW = 3
 _HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -23,15 +23,16 @@ def _lines(text):
 
 def window_rows(keyed: DataFrame, size: int = WINDOW) -> DataFrame:
     """(_id, _h, h1, h2, k, at): a row for each window, its 96-bit hash, its number and its lines' places."""
-    lines = keyed.select("_id", "_h", _lines(F.col("_text")).alias("lines"))
-    full = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.col("lines")[i].rlike(_HAS_WORD))
-    placed = lines.withColumn("at", full).where(F.size("at") >= size)
-    parts = [lambda k, j=j: F.col("lines")[F.col("at")[k + j]] for j in range(size)]
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size("at") - size),
-        lambda k: F.struct(F.xxhash64(*[p(k) for p in parts]).alias("h1"), F.hash(*[p(k) for p in parts]).alias("h2"), k.alias("k"), F.slice(F.col("at"), k + 1, size).alias("at")),
-    )
-    return placed.select("_id", "_h", F.explode(windows).alias("w")).select("_id", "_h", "w.*")
+
+    def windows(lines, at):
+        window = lambda k: [lines[at[k + j]] for j in range(size)]
+        places = F.sequence(F.lit(0), F.size(at) - size)
+        found = F.transform(places, lambda k: F.struct(F.xxhash64(*window(k)).alias("h1"), F.hash(*window(k)).alias("h2"), k.alias("k"), F.slice(at, k + 1, size).alias("at")))
+        return F.when(F.size(at) >= size, found)
+
+    full = lambda lines: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: lines[i].rlike(_HAS_WORD))
+    own = let(_lines(F.col("_text")), lambda lines: let(full(lines), lambda at: windows(lines, at)))
+    return keyed.select("_id", "_h", F.explode(own).alias("w")).select("_id", "_h", "w.*")
 
 
 def covered_lines(windows: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -64,11 +65,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", size: int = WINDOW) -> tupl
     rows = docs.select(key.alias("_id"), h.alias("_h"), F.struct(*[col(c) for c in docs.columns]).alias("_row"))
     joined = rows.join(gone.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_h") == F.col("_gh")), "left")
     own = F.col("_row").getField(text)
-    lines = _lines(own)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    short = F.when(F.col("_gone").isNull(), own).otherwise(F.array_join(F.transform(left, lambda i: lines[i]), "\n"))
+    left = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    short = F.when(F.col("_gone").isNull(), own).otherwise(let(_lines(own), lambda lines: F.array_join(F.transform(left(lines), lambda i: lines[i]), "\n")))
     out = [short.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns]
-    return joined.select(*out, F.when(own.isNull(), 0).otherwise(F.size(lines)).cast("long").alias(names["n_lines"]), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(names["n_removed"])), names
+    return joined.select(*out, F.when(own.isNull(), 0).otherwise(F.size(_lines(own))).cast("long").alias(names["n_lines"]), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(names["n_removed"])), names
 
 
 #: The same for unique ids, on the table ``documents``.
