@@ -342,6 +342,12 @@ FAN_IN, FAN_CHARS = 64, 1_000_000
 SHARED_FROM = 3
 
 
+#: Parts of a host's pages where its shared texts are joined to them.
+SALTS = 64
+#: Labels or shared texts of all hosts go to each worker if they are at most this long in all; beyond it, they are joined by host.
+BROADCAST_CHARS = 4_000_000
+
+
 def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """(host, stream, pages, slots): each host's wrapper as JSON, its number of pages, and of each slot the characters, those in links, and whether the text never differs."""
     read = pages.select(col(url).cast("string").alias("url"), text_or_empty(page).alias("html"))
@@ -349,7 +355,13 @@ def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> Da
     of_host = rows.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
     often = rows.select("host", F.explode(F.array_distinct("texts")).alias("t")).groupBy("host", "t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED_FROM)
     shared = often.join(of_host, "host").where("2 * n >= all").groupBy("host").agg(F.collect_list("t").alias("shared"))
-    streams = rows.join(shared, "host", "left").select("host", "stream", "texts", "shared").mapInArrow(_folded, "host string, stream string")
+    shared, seen = materialize_counted(shared, "shared", chars=F.length("host") + F.length(F.array_join("shared", "")))
+    if seen.chars <= BROADCAST_CHARS:
+        known = rows.join(F.broadcast(shared), "host", "left")
+    else:  # a host with most of the pages is dealt over several tasks
+        salt = F.pmod(F.xxhash64("stream"), F.lit(SALTS)).alias("salt")
+        known = rows.select("*", salt).join(shared.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["host", "salt"], "left")
+    streams = known.select("host", "stream", "texts", "shared").mapInArrow(_folded, "host string, stream string")
     streams = streams.groupBy("host", "stream").agg(F.count(F.lit(1)).alias("pages"))
     while True:
         streams = materialize(streams, "streams")
@@ -394,10 +406,6 @@ def _label_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.string())], ["host", "labels"])
 
 
-#: Labels of all hosts go to each worker if they are at most this long in all; beyond it, they are joined by host.
-BROADCAST_CHARS = 4_000_000
-
-
 def extract_main_text(pages: DataFrame, wrappers: DataFrame | None = None, url: str = "url", page: str = "html") -> tuple[DataFrame, dict[str, str]]:
     """Adds text and n_chars under free names: the blocks of the host's main slots, joined by line ends.
 
