@@ -29,6 +29,7 @@ from urllib.parse import urlsplit
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -311,16 +312,24 @@ def _stream_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
 
 
-def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for stream, texts, shared in zip(*(batch.column(c).to_pylist() for c in ("stream", "texts", "shared")), strict=True):
-            known, at, parts = set(shared or ()), iter(texts), []
-            for t in stream:
-                literal = next(at) if t[0] == "#" else None
-                parts.append(((literal if literal in known else t,), 0, False))
-            out.append(json.dumps(fold(parts), ensure_ascii=False))
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.string())], ["host", "stream"])
+def _folder(table: Broadcast | None):
+    """Folds streams; the shared texts of a host come from ``table``, or where it is None from the rows."""
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            hosts = batch.column("host").to_pylist()
+            shared = [table.value.get(h, ()) for h in hosts] if table else batch.column("shared").to_pylist()
+            for stream, texts, own in zip(batch.column("stream").to_pylist(), batch.column("texts").to_pylist(), shared, strict=True):
+                known, at, parts = frozenset(own or ()), iter(texts), []
+                for t in stream:
+                    literal = next(at) if t[0] == "#" else None
+                    parts.append(((literal if literal in known else t,), 0, False))
+                out.append(json.dumps(fold(parts), ensure_ascii=False))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.string())], ["host", "stream"])
+            release_memory()
+
+    return folded
 
 
 def _parts(text: str) -> list[Part]:
@@ -356,12 +365,14 @@ def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> Da
     often = rows.select("host", F.explode(F.array_distinct("texts")).alias("t")).groupBy("host", "t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED_FROM)
     shared = often.join(of_host, "host").where("2 * n >= all").groupBy("host").agg(F.collect_list("t").alias("shared"))
     shared, seen = materialize_counted(shared, "shared", chars=F.length("host") + F.length(F.array_join("shared", "")))
+    own = rows.select("host", "stream", "texts")
     if seen.chars <= BROADCAST_CHARS:
-        known = rows.join(F.broadcast(shared), "host", "left")
+        table = pages.sparkSession.sparkContext.broadcast({r.host: frozenset(r.shared) for r in shared.collect()})
     else:  # a host with most of the pages is dealt over several tasks
-        salt = F.pmod(F.xxhash64("stream"), F.lit(SALTS)).alias("salt")
-        known = rows.select("*", salt).join(shared.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["host", "salt"], "left")
-    streams = known.select("host", "stream", "texts", "shared").mapInArrow(_folded, "host string, stream string")
+        table, salt = None, F.pmod(F.xxhash64("stream"), F.lit(SALTS)).alias("salt")
+        salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        own = own.select("*", salt).join(salted, ["host", "salt"], "left").select("host", "stream", "texts", "shared")
+    streams = own.mapInArrow(_folder(table), "host string, stream string")
     streams = streams.groupBy("host", "stream").agg(F.count(F.lit(1)).alias("pages"))
     while True:
         streams = materialize(streams, "streams")
