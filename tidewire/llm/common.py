@@ -33,7 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with the scheme that Spark reads it by, so that files written beside Spark land in the same store."""
-    return _path(spark, path)[1].toString()
+    full = _path(spark, path)[1].toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def _path(spark: SparkSession, path: str):
