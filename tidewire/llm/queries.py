@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, line_dedup, media, mixing, near_dedup, packing, quality, secrets, token_files, vector_packing
+from . import conversations, html, line_dedup, media, mixing, near_dedup, packing, quality, secrets, token_files, vector_packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack_examples(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(conversations.damaged(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -82,5 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
     "op12_vector_packing": op12_vector_packing,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE_SQL}
