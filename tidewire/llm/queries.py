@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, html, line_dedup, media, mixing, near_dedup, packing, quality, secrets, token_files, vector_packing
+from . import collocations, conversations, html, line_dedup, media, mixing, near_dedup, packing, quality, secrets, token_files, vector_packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(n[c]).alias(c) for c in (*quality.VERDICT, "base_failed", "kept", "score")])
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack_examples(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -85,7 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
+    "op11_collocations": op11_collocations,
     "op12_vector_packing": op12_vector_packing,
     "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL}
