@@ -2,7 +2,7 @@
 
 Texts are cut into pieces, and identical pieces become one with a multiplicity. Distinct pieces are kept as chunks of codes, a
 dictionary a chunk (:func:`_chunks`). Phrases are counted length by length. A chunk asks for each phrase it has once,
-with its weight; requests are shuffled by phrase, a bucket adds them up out-of-core in duckdb, numbers the frequent phrases and sends each
+with its weight; requests are shuffled in blocks by phrase, a bucket adds them up out-of-core in duckdb, numbers the frequent phrases and sends each
 chunk that asked the number (:func:`_counted`). A phrase of k + 1 words is asked for only where both phrases of k words in it
 are frequent, and is told by their two numbers, so counts are exact at any size (:func:`_advanced`). Prefixes and suffixes of
 phrases lie in other buckets than they do; their counts come by joins on those numbers (:func:`_with_parts`).
@@ -11,6 +11,7 @@ phrases lie in other buckets than they do; their counts come by joins on those n
 from __future__ import annotations
 
 import contextlib
+import itertools
 import os
 import shutil
 import uuid
@@ -112,35 +113,83 @@ def distinct_pieces(docs: DataFrame, lang: str = "lang") -> DataFrame:
 
 
 _REQUEST, _STATE = 0, 1
-_ASKED = "kind int, chunk long, lang string, code int, word string, x long, y long, weight long, state binary"
-_ASKED_NAMES = ["kind", "chunk", "lang", "code", "word", "x", "y", "weight", "state"]
-_CODEC = "zstd"
+_ASKED = "kind int, chunk long, lang string, bucket int, data binary"
+_ASKED_NAMES = ["kind", "chunk", "lang", "bucket", "data"]
+_ASKED_TYPES = [pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.binary()]
+#: Buckets for each task that counts, so that tasks have about as many each.
+BUCKETS_A_TASK = 4
+
+
+def _squeezed(ascending: list[np.ndarray], others: list[np.ndarray], raw: bytes = b"") -> bytes:
+    """Arrays of one length as byte planes, of ascending ones the steps, and further bytes, compressed."""
+    parts = [np.diff(a, prepend=0) for a in ascending] + others
+    planes = b"".join(p.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for p in parts)
+    head = np.array([len(parts[0]), len(parts), len(raw)], "<i8").tobytes()
+    return head + pa.compress(planes + raw, "zstd", asbytes=True)
+
+
+def _loosed(data: bytes, ascending: int) -> tuple[list[np.ndarray], bytes]:
+    n, k, more = np.frombuffer(data, "<i8", 3).tolist()
+    raw = pa.decompress(data[24:], 8 * n * k + more, "zstd", asbytes=True)
+    arrays = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n * k).reshape(k, 8, n).transpose(0, 2, 1)).view("<i8").reshape(k, n)
+    return [np.cumsum(a) if i < ascending else a for i, a in enumerate(arrays)], raw[8 * n * k :]
+
+
+def _blocks(chunk: int, lang: str, bucket: np.ndarray, weight: np.ndarray, word: pa.Array | None = None, x: np.ndarray | None = None, y: np.ndarray | None = None) -> pa.RecordBatch:
+    """A chunk's requests, numbered in their order, as one row for each bucket they go to."""
+    order = np.argsort(bucket, kind="stable")
+    own, first = np.unique(bucket[order], return_index=True)
+    data = []
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+        code = order[a:b]
+        if word is None:
+            data.append(_squeezed([code, x[code]], [y[code], weight[code]]))
+        else:
+            text, bounds = text_buffers(word.take(pa.array(code)))
+            data.append(_squeezed([code], [weight[code], np.diff(bounds)], text.tobytes()))
+    n = len(own)
+    arrays = [np.full(n, _REQUEST), np.full(n, chunk), [lang] * n, own, data]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(arrays, _ASKED_TYPES, strict=True)], _ASKED_NAMES)
+
+
+def _kept(chunk: int, lang: str, code: np.ndarray, next_: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+    """A chunk's phrases in order: their codes, whether the phrase at the next word is the next one here, their weights."""
+    values = (_STATE, chunk, lang, None, _squeezed([], [code, next_, weight]))
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _ASKED_TYPES, strict=True)], _ASKED_NAMES)
 
 
-def _packed(code: np.ndarray, next_: np.ndarray, weight: np.ndarray) -> bytes:
-    """A chunk's phrases in order: their codes, whether the phrase at the next word is the next one here, their weights."""
-    parts = [code.astype("<i4"), next_.astype(np.uint8), weight.astype("<i8")]
-    return len(code).to_bytes(8, "little") + pa.compress(b"".join(p.tobytes() for p in parts), _CODEC, asbytes=True)
+def _unblocked(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of requests as rows."""
+    for batch in batches:
+        for chunk, lang, data in zip(*[batch.column(c).to_pylist() for c in ("chunk", "lang", "data")], strict=True):
+            if level > 1:
+                (code, x, y, weight), _ = _loosed(data, 2)
+                own = {"x": pa.array(x), "y": pa.array(y)}
+            else:
+                (code, weight, lengths), text = _loosed(data, 1)
+                bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                own = {"word": pa.StringArray.from_buffers(len(lengths), pa.py_buffer(bounds), pa.py_buffer(text))}
+            n = len(code)
+            yield pa.RecordBatch.from_pydict({"chunk": np.full(n, chunk), "lang": pa.repeat(pa.scalar(lang), n), "code": pa.array(code), **own, "weight": pa.array(weight)})
 
 
-def _unpacked(state: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int.from_bytes(state[:8], "little")
-    raw = pa.decompress(state[8:], n * 13, _CODEC, asbytes=True)
-    return np.frombuffer(raw, "<i4", n), np.frombuffer(raw, np.uint8, n, 4 * n).astype(bool), np.frombuffer(raw, "<i8", n, 5 * n)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit numbers, by the constants of a well-known finalizer."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _asked(chunk: int, lang: str, n: int, weight: np.ndarray, word: pa.Array | None = None, x: np.ndarray | None = None, y: np.ndarray | None = None) -> pa.RecordBatch:
-    of = lambda v, t: pa.nulls(n, t) if v is None else pa.array(v, t)
-    arrays = [
-        pa.array(np.full(n, _REQUEST, np.int32)), pa.array(np.full(n, chunk)), pa.repeat(pa.scalar(lang), n), pa.array(np.arange(n, dtype=np.int32)),
-        pa.nulls(n, pa.string()) if word is None else word.cast(pa.string()), of(x, pa.int64()), of(y, pa.int64()), pa.array(weight, pa.int64()), pa.nulls(n, pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(arrays, _ASKED_NAMES)
+def _word_buckets(words: pa.Array, buckets: int) -> np.ndarray:
+    """A bucket for each word, from its bytes alone."""
+    data, offsets = text_buffers(words)
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    sums = np.add.reduceat(_mixed(place.astype(np.uint64) << np.uint64(8) | data), offsets[:-1])  # no word is empty
+    return (_mixed(sums) % np.uint64(buckets)).astype(np.int64)
 
 
-def _kept(chunk: int, lang: str, state: bytes) -> pa.RecordBatch:
-    values = [(_STATE, pa.int32()), (chunk, pa.int64()), (lang, pa.string()), (None, pa.int32()), (None, pa.string()), (None, pa.int64()), (None, pa.int64()), (None, pa.int64()), (state, pa.binary())]
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], _ASKED_NAMES)
+def _pair_buckets(x: np.ndarray, y: np.ndarray, buckets: int) -> np.ndarray:
+    return (_mixed(_mixed(x.astype(np.uint64)) + y.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _weights(code: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -167,7 +216,7 @@ def _words(pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(own)), np.diff(np.searchsorted(starts, offsets))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Distinct pieces as chunks: for each its codes, and a request for each of its words."""
     first, made, size = TaskContext.get().partitionId() << 32, 0, 0
     held: dict[str, list[tuple[pa.Array, np.ndarray, np.ndarray]]] = {}
@@ -182,8 +231,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             next_[np.cumsum(counts) - 1] = False
             chunk = first + made
             made += 1
-            yield _asked(chunk, lang, len(coded.dictionary), _weights(code, weight, len(coded.dictionary)), coded.dictionary)
-            yield _kept(chunk, lang, _packed(code, next_, weight))
+            yield _blocks(chunk, lang, _word_buckets(coded.dictionary, buckets), _weights(code, weight, len(coded.dictionary)), coded.dictionary)
+            yield _kept(chunk, lang, code, next_, weight)
         held.clear()
         size = 0
         release_memory()
@@ -203,7 +252,37 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _REPLY, _GRAM = 0, 1
-_TOLD = "kind int, chunk long, code int, id long, lang string, word string, x long, y long, f long"
+_TOLD = "kind int, chunk long, lang string, data binary, id long, word string, x long, y long, f long"
+_TOLD_NAMES = ["kind", "chunk", "lang", "data", "id", "word", "x", "y", "f"]
+_TOLD_TYPES = [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+
+
+def _told(**columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(_TOLD_NAMES, _TOLD_TYPES, strict=True)], _TOLD_NAMES)
+
+
+def _replies(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers, sorted by chunk, language and code, as one row for each chunk that asked."""
+    now, codes, ids = None, [], []
+
+    def told() -> pa.RecordBatch:
+        data = _squeezed([np.concatenate(codes)], [np.concatenate(ids)])
+        return _told(kind=[_REPLY], chunk=[now[0]], lang=[now[1]], data=[data])
+
+    for batch in rows:
+        chunk, code, id_ = (batch.column(c).to_numpy() for c in ("chunk", "code", "id"))
+        heads = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))  # a chunk has one language
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(chunk)], strict=True):
+            name = int(chunk[a]), batch.column("lang")[a].as_py()
+            if now is not None and name != now:
+                yield told()
+                codes, ids = [], []
+            now = name
+            codes.append(code[a:b])
+            ids.append(id_[a:b])
+    if now is not None:
+        yield told()
 
 
 @contextlib.contextmanager
@@ -229,58 +308,60 @@ def _counted(least: int, level: int, folder: str | None):
     key = "word" if level == 1 else "x, y"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next(batches, None)
+        rows = _unblocked(batches, level)
+        first = next(rows, None)
         if first is None:
             return
         base = TaskContext.get().partitionId() << 40
-
-        def all_of():
-            yield first
-            yield from batches
-
         with _duckdb(folder) as db:
-            asked = pa.RecordBatchReader.from_batches(first.schema, all_of())
+            asked = pa.RecordBatchReader.from_batches(first.schema, itertools.chain([first], rows))
             db.register("given", asked)
             db.execute("create table asked as select * from given")
             db.execute(f"create table frequent as select {base} + row_number() over (order by lang, {key}) as id, * from (select lang, {key}, sum(weight)::bigint as f from asked group by all having sum(weight) >= {least})")
-            x, y, word = ("null::bigint", "null::bigint", "word") if level == 1 else ("x", "y", "null::varchar")
-            grams = f"select {_GRAM}::int as kind, null::bigint as chunk, null::int as code, id, lang, {word} as word, {x} as x, {y} as y, f from frequent"
-            replies = f"select {_REPLY}::int as kind, chunk, code, id, lang, null::varchar as word, null::bigint as x, null::bigint as y, null::bigint as f from asked join frequent using (lang, {key})"
-            for query in (grams, replies):
-                yield from db.sql(query).to_arrow_reader(100_000)
+            for batch in db.sql("select * from frequent").to_arrow_reader(100_000):
+                own = {c: batch.column(c) for c in batch.schema.names}
+                yield _told(kind=np.full(len(batch), _GRAM), **own)
+            yield from _replies(db.sql(f"select chunk, lang, code, id from asked join frequent using (lang, {key}) order by chunk, code").to_arrow_reader(100_000))
             db.execute("drop table frequent")
         release_memory()
 
     return count
 
 
-def _advanced(asks_more: bool):
+def _advanced(asks_more: bool, buckets: int):
     """A chunk's phrases and the numbers of the frequent ones: its phrases that are a word longer, as requests and in order."""
 
     def advance(states: pa.Table, replies: pa.Table) -> pa.Table:
         out = []
         if len(states) and len(replies):
             (chunk,), (lang,) = states.column("chunk").to_pylist(), states.column("lang").to_pylist()
-            code, next_, weight = _unpacked(states.column("state")[0].as_py())
-            asked, ids = (replies.column(c).to_numpy() for c in ("code", "id"))
+            (code, next_, weight), _ = _loosed(states.column("data")[0].as_py(), 0)
+            parts = [_loosed(x, 1)[0] for x in replies.column("data").to_pylist()]
+            asked, ids = (np.concatenate([p[k] for p in parts]) for k in range(2))
+            order = np.argsort(ids)
+            asked, ids = asked[order], ids[order]
             local = np.full(int(max(code.max(), asked.max())) + 1, -1, np.int64)
             local[asked] = np.arange(len(asked))
             own = local[code]
-            at = np.flatnonzero(next_[:-1] & (own[:-1] >= 0) & (own[1:] >= 0))
+            at = np.flatnonzero((next_[:-1] != 0) & (own[:-1] >= 0) & (own[1:] >= 0))
             if len(at):
                 pairs, new = np.unique(own[at] * len(asked) + own[at + 1], return_inverse=True)
-                times = weight[at]
-                out.append(_asked(chunk, lang, len(pairs), _weights(new, times, len(pairs)), x=ids[pairs // len(asked)], y=ids[pairs % len(asked)]))
+                times, x, y = weight[at], ids[pairs // len(asked)], ids[pairs % len(asked)]
+                out.append(_blocks(chunk, lang, _pair_buckets(x, y, buckets), _weights(new, times, len(pairs)), x=x, y=y))
                 if asks_more:
-                    out.append(_kept(chunk, lang, _packed(new, np.concatenate([np.diff(at) == 1, [False]]), times)))
+                    out.append(_kept(chunk, lang, new, np.concatenate([np.diff(at) == 1, [False]]), times))
             release_memory()
-        if not out:
-            return pa.Table.from_batches([], _asked(0, "", 0, np.zeros(0, np.int64)).schema)
-        return pa.Table.from_batches(out)
+        return pa.Table.from_batches(out, pa.schema(list(zip(_ASKED_NAMES, _ASKED_TYPES, strict=True))))
 
     return advance
 
 
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = [int(_loosed(data, 1)[0][1].sum()) for data in batch.column("data").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(n, pa.int64())], ["lang", "n"])
+
+
 def _with_parts(grams: DataFrame, shorter: DataFrame | None) -> DataFrame:
     """(id, lang, phrase, last, f, heads, tails): ``heads[k]`` is the count of the first k + 1 words, ``tails[k]`` of the last k + 1."""
     if shorter is None:
@@ -313,22 +394,21 @@ def mine_phrases(docs: DataFrame, lang: str = "lang", least: int = LEAST, longes
     buckets = parts_for(docs)
     folder = new_folder(spark, "duckdb")
     local = folder.removeprefix("file://") if folder.startswith("file:") else None
-    asked = materialize(distinct_pieces(docs, lang).mapInArrow(_chunks, _ASKED), "phrases_1")
-    requests = asked.where(F.col("kind") == _REQUEST)
-    words = requests.groupBy("lang").agg(F.sum("weight").alias("n"))
+    split = buckets * BUCKETS_A_TASK
+    asked = materialize(distinct_pieces(docs, lang).mapInArrow(lambda batches: _chunks(batches, split), _ASKED), "phrases_1")
+    words = asked.where(F.col("kind") == _REQUEST).mapInArrow(_occurrences, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
     tables: list[DataFrame] = []
     grams: list[DataFrame] = []
     for level in range(1, longest + 1):
-        key = ["word"] if level == 1 else ["x", "y"]
-        dealt = asked.where(F.col("kind") == _REQUEST).select("chunk", "lang", "code", *key, "weight").repartition(buckets, "lang", *key)
+        dealt = asked.where(F.col("kind") == _REQUEST).select("chunk", "lang", "bucket", "data").repartition(buckets, "bucket")
         told = materialize(dealt.mapInArrow(_counted(least, level, local), _TOLD), f"counted_{level}")
         own = told.where(F.col("kind") == _GRAM)
         grams.append(own)
         tables.append(materialize(_with_parts(own, tables[-1] if tables else None), f"parts_{level}"))
         if level < longest:
-            states = asked.where(F.col("kind") == _STATE).select("chunk", "lang", "state").groupBy("chunk", "lang")
-            replies = told.where(F.col("kind") == _REPLY).select("chunk", "lang", "code", "id").groupBy("chunk", "lang")
-            asked = materialize(states.cogroup(replies).applyInArrow(_advanced(level + 1 < longest), _ASKED), f"phrases_{level + 1}")
+            states = asked.where(F.col("kind") == _STATE).select("chunk", "lang", "data").groupBy("chunk", "lang")
+            replies = told.where(F.col("kind") == _REPLY).select("chunk", "lang", "data").groupBy("chunk", "lang")
+            asked = materialize(states.cogroup(replies).applyInArrow(_advanced(level + 1 < longest, split), _ASKED), f"phrases_{level + 1}")
     scored = None
     for k in range(2, longest + 1):
         rows = tables[k - 1]
