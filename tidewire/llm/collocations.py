@@ -113,11 +113,9 @@ def distinct_pieces(docs: DataFrame, lang: str = "lang") -> DataFrame:
 
 
 _REQUEST, _STATE = 0, 1
-_ASKED = "kind int, chunk long, lang string, bucket int, data binary"
-_ASKED_NAMES = ["kind", "chunk", "lang", "bucket", "data"]
-_ASKED_TYPES = [pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.binary()]
-#: Buckets for each task that counts, so that tasks have about as many each.
-BUCKETS_A_TASK = 4
+_ASKED = "kind int, chunk long, lang string, bucket int, data binary, n long"
+_ASKED_NAMES = ["kind", "chunk", "lang", "bucket", "data", "n"]
+_ASKED_TYPES = [pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.int64()]
 
 
 def _squeezed(ascending: list[np.ndarray], others: list[np.ndarray], raw: bytes = b"") -> bytes:
@@ -148,13 +146,13 @@ def _blocks(chunk: int, lang: str, bucket: np.ndarray, weight: np.ndarray, word:
             text, bounds = text_buffers(word.take(pa.array(code)))
             data.append(_squeezed([code], [weight[code], np.diff(bounds)], text.tobytes()))
     n = len(own)
-    arrays = [np.full(n, _REQUEST), np.full(n, chunk), [lang] * n, own, data]
+    arrays = [np.full(n, _REQUEST), np.full(n, chunk), [lang] * n, own, data, [None] * n]
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(arrays, _ASKED_TYPES, strict=True)], _ASKED_NAMES)
 
 
 def _kept(chunk: int, lang: str, code: np.ndarray, next_: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
-    """A chunk's phrases in order: their codes, whether the phrase at the next word is the next one here, their weights."""
-    values = (_STATE, chunk, lang, None, _squeezed([], [code, next_, weight]))
+    """A chunk's phrases in order: their codes, whether the phrase at the next word is the next one here, their weights; and how many they are."""
+    values = (_STATE, chunk, lang, None, _squeezed([], [code, next_, weight]), int(weight.sum()))
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _ASKED_TYPES, strict=True)], _ASKED_NAMES)
 
 
@@ -356,12 +354,6 @@ def _advanced(asks_more: bool, buckets: int):
     return advance
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = [int(_loosed(data, 1)[0][1].sum()) for data in batch.column("data").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(n, pa.int64())], ["lang", "n"])
-
-
 def _with_parts(grams: DataFrame, shorter: DataFrame | None) -> DataFrame:
     """(id, lang, phrase, last, f, heads, tails): ``heads[k]`` is the count of the first k + 1 words, ``tails[k]`` of the last k + 1."""
     if shorter is None:
@@ -394,13 +386,12 @@ def mine_phrases(docs: DataFrame, lang: str = "lang", least: int = LEAST, longes
     buckets = parts_for(docs)
     folder = new_folder(spark, "duckdb")
     local = folder.removeprefix("file://") if folder.startswith("file:") else None
-    split = buckets * BUCKETS_A_TASK
-    asked = materialize(distinct_pieces(docs, lang).mapInArrow(lambda batches: _chunks(batches, split), _ASKED), "phrases_1")
-    words = asked.where(F.col("kind") == _REQUEST).mapInArrow(_occurrences, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+    asked = materialize(distinct_pieces(docs, lang).mapInArrow(lambda batches: _chunks(batches, buckets), _ASKED), "phrases_1")
+    words = asked.where(F.col("kind") == _STATE).groupBy("lang").agg(F.sum("n").alias("n"))
     tables: list[DataFrame] = []
     grams: list[DataFrame] = []
     for level in range(1, longest + 1):
-        dealt = asked.where(F.col("kind") == _REQUEST).select("chunk", "lang", "bucket", "data").repartition(buckets, "bucket")
+        dealt = asked.where(F.col("kind") == _REQUEST).select("chunk", "lang", "bucket", "data").repartitionById(buckets, F.col("bucket"))
         told = materialize(dealt.mapInArrow(_counted(least, level, local), _TOLD), f"counted_{level}")
         own = told.where(F.col("kind") == _GRAM)
         grams.append(own)
@@ -408,7 +399,7 @@ def mine_phrases(docs: DataFrame, lang: str = "lang", least: int = LEAST, longes
         if level < longest:
             states = asked.where(F.col("kind") == _STATE).select("chunk", "lang", "data").groupBy("chunk", "lang")
             replies = told.where(F.col("kind") == _REPLY).select("chunk", "lang", "data").groupBy("chunk", "lang")
-            asked = materialize(states.cogroup(replies).applyInArrow(_advanced(level + 1 < longest, split), _ASKED), f"phrases_{level + 1}")
+            asked = materialize(states.cogroup(replies).applyInArrow(_advanced(level + 1 < longest, buckets), _ASKED), f"phrases_{level + 1}")
     scored = None
     for k in range(2, longest + 1):
         rows = tables[k - 1]
