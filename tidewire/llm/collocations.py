@@ -23,13 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_folder, parts_for, text_or_empty
+from .common import materialize, new_folder, parts_for, source_bytes, text_or_empty
 from .files import release_memory
 from .tokens import text_buffers
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text that are cut at once, and bytes of distinct pieces in a chunk.
 SLICE_BYTES, CHUNK_BYTES = 2 << 20, 24 << 20
+#: Buckets aren't made for less text than this, so that blocks of requests stay few and full.
+BUCKET_BYTES = 8 << 20
 #: What duckdb holds in memory in a task; more goes to the shared folder.
 DUCKDB_MEMORY = "400MB"
 
@@ -383,7 +385,7 @@ def mine_phrases(docs: DataFrame, lang: str = "lang", least: int = LEAST, longes
     digits for products. Hot pieces are summed before they are shuffled; a hot phrase has one request a chunk.
     """
     spark = docs.sparkSession
-    buckets = parts_for(docs)
+    buckets = min(parts_for(docs), max(1, -(-source_bytes(docs) // BUCKET_BYTES)))
     folder = new_folder(spark, "duckdb")
     local = folder.removeprefix("file://") if folder.startswith("file:") else None
     asked = materialize(distinct_pieces(docs, lang).mapInArrow(lambda batches: _chunks(batches, buckets), _ASKED), "phrases_1")

@@ -71,15 +71,16 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def parts_for(df: DataFrame, part_bytes: int = 256 << 20) -> int:
-    """Partitions for a shuffle of all of ``df``: those of the session, or more if its sources would make them larger than ``part_bytes``.
-
-    What sources hold is Spark's estimate, of files their size; one that it doesn't know counts as nothing.
-    """
+def source_bytes(df: DataFrame) -> int:
+    """What the sources of ``df`` hold by Spark's estimate, of files their size; one that it doesn't know counts as nothing."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
-    known = sum(n for n in sizes if n < 1 << 60)
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // part_bytes))
+    return sum(n for n in sizes if n < 1 << 60)
+
+
+def parts_for(df: DataFrame, part_bytes: int = 256 << 20) -> int:
+    """Partitions for a shuffle of all of ``df``: those of the session, or more if its sources would make them larger than ``part_bytes``."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-source_bytes(df) // part_bytes))
 
 
 def materialize_counted(df: DataFrame, name: str = "step", **counts: Column) -> tuple[DataFrame, Row]:
