@@ -97,14 +97,35 @@ def read_capture(source: BinaryIO, notes: Notes | None = None) -> Iterator[Recor
     yield from _classic(source, head, notes) if kind == "classic" else _blocks(source, head, notes)
 
 
-def _classic(source: BinaryIO, head: bytes, notes: Notes) -> Iterator[Record]:
-    order, ticks = CLASSIC[struct.unpack("<I", head[:4])[0]]
-    rest = _exactly(source, 24 - HEAD_BYTES)
-    if rest is None:
+@dataclass(frozen=True)
+class ClassicHeader:
+    order: str
+    ticks: int
+    linktype: int
+    record_bytes: int
+    snap: int
+
+
+CLASSIC_HEADER_BYTES = 24
+
+
+def classic_header(head: bytes) -> ClassicHeader:
+    """What the first 24 bytes of a classic file tell."""
+    if len(head) < CLASSIC_HEADER_BYTES:
         raise UnsupportedCapture("the file header was cut off")
-    linktype = struct.unpack(order + "I", (head + rest)[20:24])[0] & 0xFFFF
-    extra = 8 if struct.unpack("<I", head[:4])[0] in (0xA1B2CD34, 0x34CDB2A1) else 0
-    index = 0
+    (magic,) = struct.unpack("<I", head[:4])
+    order, ticks = CLASSIC[magic]
+    snap, link = struct.unpack(order + "II", head[16:24])
+    return ClassicHeader(order, ticks, link & 0xFFFF, 24 if magic in (0xA1B2CD34, 0x34CDB2A1) else 16, snap)
+
+
+def _classic(source: BinaryIO, head: bytes, notes: Notes) -> Iterator[Record]:
+    yield from scan_classic(source, notes, classic_header(head + source.read(CLASSIC_HEADER_BYTES - HEAD_BYTES)))
+
+
+def scan_classic(source: BinaryIO, notes: Notes, header: ClassicHeader, index: int = 0) -> Iterator[Record]:
+    """Records that follow, from a record's start on."""
+    order, ticks, linktype, extra = header.order, header.ticks, header.linktype, header.record_bytes - 16
     while True:
         record = source.read(16 + extra)
         if not record:
@@ -131,8 +152,41 @@ def _options(data: bytes, order: str) -> Iterator[tuple[int, bytes]]:
         at += 4 + (n + 3) // 4 * 4
 
 
+@dataclass
+class ScanState:
+    """What a scan of blocks knows at a block's start: the section's byte order and interfaces, and the number of packets before."""
+
+    order: str = "<"
+    interfaces: list[Interface] = field(default_factory=list)
+    index: int = 0
+
+
+def section_order(start: bytes) -> str:
+    """Byte order by the first 12 bytes of a section header."""
+    return "<" if struct.unpack("<I", start[8:12])[0] == BYTE_ORDER else ">"
+
+
+def described_interface(body: bytes, order: str) -> Interface:
+    own = Interface(struct.unpack(order + "H", body[:2])[0])
+    for code, value in _options(body[8:], order):
+        if code == 9 and value:
+            own.ticks = 2 ** (value[0] & 0x7F) if value[0] & 0x80 else 10 ** value[0]
+        elif code == 14 and len(value) == 8:
+            own.offset = struct.unpack(order + "q", value)[0]
+    return own
+
+
+def interface_time(own: Interface, high: int, low: int) -> int:
+    ticks = high << 32 | low
+    return ticks_to_ns(ticks // own.ticks + own.offset, ticks % own.ticks, own.ticks)
+
+
 def _blocks(source: BinaryIO, head: bytes, notes: Notes) -> Iterator[Record]:
-    order, interfaces, index = "<", [], 0
+    yield from scan_blocks(source, notes, ScanState(), head)
+
+
+def scan_blocks(source: BinaryIO, notes: Notes, state: ScanState, head: bytes = b"") -> Iterator[Record]:
+    """Records of the blocks that follow, from a block's start on; ``head`` was read before. ``state`` goes along."""
     pending = head
     while True:
         start = pending + (source.read(12 - len(pending)) if len(pending) < 12 else b"")
@@ -142,10 +196,10 @@ def _blocks(source: BinaryIO, head: bytes, notes: Notes) -> Iterator[Record]:
         if len(start) < 12:
             notes.add("truncated", "a block header was cut off")
             return
-        kind_le = struct.unpack("<I", start[:4])[0]
-        if kind_le == SECTION:
-            order = "<" if struct.unpack("<I", start[8:12])[0] == BYTE_ORDER else ">"
-            interfaces = []  # a section has interfaces of its own
+        if struct.unpack("<I", start[:4])[0] == SECTION:
+            state.order = section_order(start)
+            state.interfaces = []  # a section has interfaces of its own
+        order, interfaces = state.order, state.interfaces
         kind, length = struct.unpack(order + "II", start[:8])
         if length < 12 or length % 4:
             notes.add("bad_block", f"a block of {length} bytes")
@@ -162,31 +216,24 @@ def _blocks(source: BinaryIO, head: bytes, notes: Notes) -> Iterator[Record]:
         if kind == SECTION:
             continue
         if kind == 1:
-            own = Interface(struct.unpack(order + "H", body[:2])[0])
-            for code, value in _options(body[8:], order):
-                if code == 9 and value:
-                    own.ticks = 2 ** (value[0] & 0x7F) if value[0] & 0x80 else 10 ** value[0]
-                elif code == 14 and len(value) == 8:
-                    own.offset = struct.unpack(order + "q", value)[0]
-            interfaces.append(own)
+            interfaces.append(described_interface(body, order))
         elif kind == 6:
             number, high, low, captured, original = struct.unpack(order + "IIIII", body[:20])
             if number >= len(interfaces):
                 notes.add("unknown_interface", f"packet of interface {number}, which isn't described")
                 continue
             own = interfaces[number]
-            ticks = high << 32 | low
-            own.last_ns = ticks_to_ns(ticks // own.ticks + own.offset, ticks % own.ticks, own.ticks)
-            yield Record(index, own.last_ns, precision_of(own.ticks), number, own.linktype, captured, original, body[20 : 20 + captured])
-            index += 1
+            own.last_ns = interface_time(own, high, low)
+            yield Record(state.index, own.last_ns, precision_of(own.ticks), number, own.linktype, captured, original, body[20 : 20 + captured])
+            state.index += 1
         elif kind == 3:
             if not interfaces:
                 notes.add("unknown_interface", "a simple packet before any interface")
                 continue
             (original,) = struct.unpack(order + "I", body[:4])
             data = body[4 : 4 + original]
-            yield Record(index, interfaces[0].last_ns, precision_of(interfaces[0].ticks), 0, interfaces[0].linktype, len(data), original, data)
-            index += 1
+            yield Record(state.index, interfaces[0].last_ns, precision_of(interfaces[0].ticks), 0, interfaces[0].linktype, len(data), original, data)
+            state.index += 1
         elif kind in QUIET:
             notes.add(QUIET[kind])
         else:
