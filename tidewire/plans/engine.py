@@ -19,7 +19,7 @@ from ..functions import scalars as X
 from ..operators import evidence, filters, reassembly, rules, sessions, store
 from ..operators.rule_files import RuleSet, load_rules
 from ..schemas import LEDGER, PACKETS
-from ..sources.capture import read_captures
+from ..sources.capture_parts import scan_with_digests
 from ..sources.decode import APPS, decode
 
 VERSION = "1.0.0"
@@ -248,7 +248,7 @@ class Engine:
 
     def analyze(self, path: str, task_id: str | None = None) -> Task:
         """One capture, or all that a pattern names: then their packets are numbered on, file after file by path."""
-        packets = decode(read_captures(self.spark, path), self.apps, more=["path", "sha256"]).persist()
+        packets = decode(scan_with_digests(self.spark, path), self.apps, more=["path", "sha256"]).persist()
         files = packets.groupBy("path", "sha256").agg((F.max("packet_index") + 1).alias("packets"))
         files = files.withColumn("first", F.sum("packets").over(Window.orderBy("path")) - F.col("packets"))  # a row a file
         first = files.select(F.col("path").alias("_path"), "first")

@@ -1,7 +1,7 @@
 """Captures as DataFrames: ``spark.read.format("capture")`` after :func:`register`, or :func:`read_captures`.
 
-One file is read in one task, as its records and interfaces only make sense in file order. Many files scale out; within
-a file the scan streams record by record, so a file may be of any size.
+Here one file is read in one task, record by record, so a file may be of any size and many files scale out.
+:mod:`.capture_parts` reads one file in many tasks.
 """
 
 from __future__ import annotations
@@ -140,5 +140,17 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, bytes) of whole files, computed where the files are read."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    """(path, sha256, bytes) of whole files. A file is streamed by the task that has it, a block at a time."""
+    schema = StructType([StructField("path", StringType()), StructField("sha256", StringType()), StructField("bytes", LongType())])
+    kinds = to_arrow_schema(schema)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for name, opened in _sources(batches):
+            digest, n = hashlib.sha256(), 0
+            with opened() as source:
+                while part := source.read(1 << 20):
+                    digest.update(part)
+                    n += len(part)
+            yield name, digest.hexdigest(), n
+
+    return _listed(spark, path).mapInArrow(lambda batches: _in_batches(digests(batches), kinds), schema)

@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..schemas import RAW
-from .capture import _in_batches, _store
+from .capture import _in_batches, _store, fingerprint, read_captures
 from .capture_format import CLASSIC_HEADER_BYTES, HEAD_BYTES, QUIET, SECTION, ClassicHeader, Interface, Notes, ScanState, classic_header, described_interface, detect_format, interface_time, scan_blocks, scan_classic, section_order
 
 PART_BYTES = 64 << 20
@@ -338,3 +338,14 @@ def scan_captures(spark: SparkSession, path: str, part_bytes: int = PART_BYTES)
     kinds = to_arrow_schema(SCANNED)
     parts = parts_of(spark, path, part_bytes)
     return parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "part").mapInArrow(lambda batches: _in_batches(_read(batches), kinds), SCANNED)
+
+
+def scan_with_digests(spark: SparkSession, path: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """:func:`scan_captures` with each file's SHA-256 beside its path. Where only Spark can open the files, a file is one task."""
+    some = spark.read.format("binaryFile").load(path).select("path").first()
+    try:
+        _store(some.path if some else "")
+    except (pa.ArrowException, OSError):
+        return read_captures(spark, path)
+    digests = fingerprint(spark, path).select("path", "sha256")
+    return scan_captures(spark, path, part_bytes).join(digests, "path").select("path", "sha256", *[f.name for f in RAW.fields])
