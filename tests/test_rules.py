@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +147,30 @@ def test_form_and_folders(tmp_path):
     got = load_rules(tmp_path, strict=False)
     assert len(got) == 5 and [d[0] for d in got.dead] == ["NET-Y-001.yaml"] and got.rules["NET-TCP-SYN-BURST-001"].value == 5
     assert len({r.hash for r in got}) == 5
+
+
+def plain_cooldown(rows, cooldown_ns):
+    out, until = [], {}
+    for grp, now, seq in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2])):
+        if grp not in until or now >= until[grp]:
+            out.append((grp, now, seq))
+            until[grp] = now + cooldown_ns
+    return sorted(map(repr, out))
+
+
+@pytest.mark.parametrize("seed,span,cooldown_ns", [(1, 2000, 7), (2, 10**6, 5000), (3, 300, 1), (4, 10**5, 10**6), (5, 10**4, 0)])
+def test_cooldown_equals_a_walk(spark, seed, span, cooldown_ns):
+    r = random.Random(seed)
+    rows = [(r.choice(["a", "b", "c", "rare", None]) if r.random() < 0.4 else "hot", r.randrange(-span, span), k) for k in range(3000)]
+    frame = spark.createDataFrame(rows, "grp string, now_ns long, seq long").withColumn("value", F.lit(1.5))
+    found = rules.cooled(frame, cooldown_ns)
+    assert found.columns == frame.columns
+    want = sorted(map(repr, rows)) if cooldown_ns == 0 else plain_cooldown(rows, cooldown_ns)
+    assert sorted(repr((x.grp, x.now_ns, x.seq)) for x in found.collect()) == want
+
+
+def test_cooldown_of_one_flooding_group(spark):
+    n = 1_000_000
+    frame = spark.range(n).select(F.lit("one").alias("grp"), (F.col("id") * 3).alias("now_ns"), F.col("id").alias("seq")).repartition(8)
+    found = [x.now_ns for x in rules.cooled(frame, 1000).collect()]
+    assert sorted(found) == list(range(0, 3 * n, 1002))

@@ -6,20 +6,22 @@ an event covers the group's events with ts in [ts - window, ts] that came no lat
 How it scales. The match filters before any shuffle. A window never needs more than its own length of the past, so a
 group is cut into stretches of time, each with a copy of the window's length before it; a flooding source then
 spreads over as many tasks as it has stretches. Counts and sums are differences of two growing frames, distinct counts
-are running sums of begins and ends, so each costs one pass however long the window is. The cooldown is a walk over
-the candidates of a group in time order that holds one number.
+are running sums of begins and ends, so each costs one pass however long the window is. The cooldown is composed of stretches
+too: each tells what it makes of the time until which its group is quiet.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import flags_to_mask, floor_div, group_key, session_key
+from ..shared import materialize
 from .filters import port_condition, threshold_met
 from .rule_files import Rule
 
@@ -147,28 +149,113 @@ def running_counts(events: DataFrame) -> DataFrame:
     return own.join(before, (F.col("grp") == F.col("_g")) & (F.col("_s") == F.col("_gs"))).withColumn("value", (F.col("_before") + F.col("_k")).cast("double")).drop("_s", "_k", "_g", "_gs", "_before")
 
 
+#: Cooldowns in a stretch of a group's candidates.
+COOLDOWNS_A_STRETCH = 64
+_NEVER = -(1 << 63)
+
+
+def _same(batch: pa.RecordBatch, names: Sequence[str]) -> Iterator[tuple[int, int]]:
+    """Runs [a, b) of rows of a batch with equal values of ``names``."""
+    new = np.zeros(len(batch), bool)
+    for name in names:
+        own = batch.column(name)
+        new[1:] |= pc.fill_null(pc.not_equal(own[1:], own[:-1]), True).to_numpy(zero_copy_only=False)
+    heads = [0, *np.flatnonzero(new).tolist(), len(batch)]
+    return zip(heads[:-1], heads[1:], strict=True) if len(batch) else iter(())
+
+
+def _stretch_exits(cooldown_ns: int):
+    """For each stretch, until when a group is quiet after it: (first candidate at or after, quiet until) for all times it may be quiet until before."""
+
+    def table(key: tuple, times: list[np.ndarray]) -> tuple:
+        t = np.concatenate(times)
+        later = np.searchsorted(t, t + cooldown_ns)
+        zone = min(int(np.searchsorted(t, key[1] * cooldown_ns * COOLDOWNS_A_STRETCH + cooldown_ns)) + 1, len(t))
+        at = np.arange(zone)
+        while (more := later[at] < len(t)).any():  # as often as cooldowns fit at most
+            at[more] = later[at[more]]
+        return *key, t[:zone].astype("<i8").tobytes(), (t[at] + cooldown_ns).astype("<i8").tobytes()
+
+    def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, times, out = None, [], []
+        for batch in batches:
+            now = batch.column("now_ns").to_numpy()
+            for a, b in _same(batch, ["grp", "_stretch"]):
+                own = batch.column("grp")[a].as_py(), batch.column("_stretch")[a].as_py()
+                if key is not None and own != key:
+                    out.append(table(key, times))
+                    times = []
+                key = own
+                times.append(now[a:b])
+            if len(out) > 1000:
+                yield _rows(out)
+                out = []
+        if key is not None:
+            out.append(table(key, times))
+        if out:
+            yield _rows(out)
+
+    def _rows(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["grp", "_stretch", "first", "exit"])
+
+    return exits
+
+
+def _stretch_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Until when a group is quiet when each of its stretches begins."""
+    group, until, any_group = None, _NEVER, False
+    for batch in batches:
+        out = []
+        for grp, first, exit_ in zip(*(batch.column(c).to_pylist() for c in ("grp", "first", "exit")), strict=True):
+            if not any_group or grp != group:
+                group, until, any_group = grp, _NEVER, True
+            out.append(until)
+            at = int(np.searchsorted(np.frombuffer(first, "<i8"), until))
+            if at < len(exit_) // 8:
+                until = int(np.frombuffer(exit_, "<i8", 1, 8 * at)[0])
+        yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("_stretch"), pa.array(out, pa.int64())], ["grp", "_stretch", "_until"])
+
+
+def _fired(cooldown_ns: int, names: list[str]):
+    def fired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        until = _NEVER
+        for batch in batches:
+            entry, now = batch.column("_until"), batch.column("now_ns").fill_null(_NEVER).to_numpy()
+            begins = entry.is_valid().to_numpy(zero_copy_only=False)
+            marks = entry.fill_null(0).to_numpy()
+            picked = []
+            heads = [0, *(np.flatnonzero(begins[1:]) + 1).tolist(), len(batch)]
+            for a, b in zip(heads[:-1], heads[1:], strict=True):
+                if begins[a]:
+                    until, a = int(marks[a]), a + 1
+                while (at := a + int(np.searchsorted(now[a:b], until))) < b:
+                    picked.append(at)
+                    until, a = int(now[at]) + cooldown_ns, at + 1
+            yield batch.select(names).take(pa.array(picked, pa.int64()))
+
+    return fired
+
+
 def cooled(candidates: DataFrame, cooldown_ns: int) -> DataFrame:
     """The candidates that fire: the first of a group, and then the first at or after each one's cooldown.
 
-    Rows of a group stand in time order in one task and pass by; what is held is the time until which each group is
-    quiet. Nothing is collected.
+    A group is cut into stretches of 64 cooldowns. A stretch tells until when its group is quiet after it, for each candidate that may be the first to
+    fire in it (those of its first cooldown); the tables of a group, a row a stretch, pass in order and give each stretch what it begins with. So
+    candidates of one group are spread over tasks, and only the times of one in about 64 of them pass one.
     """
-    names = candidates.columns
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, until = None, None
-        for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            groups, now = batch["grp"].to_numpy(), batch["now_ns"].to_numpy()
-            for i in range(len(batch)):
-                if groups[i] != group:
-                    group, until = groups[i], None
-                if until is None or now[i] >= until:
-                    keep[i], until = True, now[i] + cooldown_ns
-            yield batch[keep]
-
-    dealt = candidates.repartition("grp").sortWithinPartitions("grp", "_last", "now_ns", "seq") if "_last" in names else candidates.repartition("grp").sortWithinPartitions("grp", "now_ns", "seq")
-    return dealt.mapInPandas(walk, candidates.schema)
+    if cooldown_ns <= 0:
+        return candidates
+    candidates = materialize(candidates, "candidates")  # read twice
+    names, width = candidates.columns, cooldown_ns * COOLDOWNS_A_STRETCH
+    cut = candidates.withColumn("_stretch", floor_div("now_ns", width))
+    times = cut.select(F.col("grp").cast("string").alias("grp"), "_stretch", "now_ns").repartition("grp", "_stretch").sortWithinPartitions("grp", "_stretch", "now_ns")
+    tables = times.mapInArrow(_stretch_exits(cooldown_ns), "grp string, _stretch long, first binary, exit binary")
+    entries = tables.repartition("grp").sortWithinPartitions("grp", "_stretch").mapInArrow(_stretch_entries, "grp string, _stretch long, _until long")
+    rows = cut.withColumn("_until", F.lit(None).cast("long")).unionByName(entries.withColumn("grp", F.col("grp").cast(candidates.schema["grp"].dataType)), allowMissingColumns=True)
+    order = ["grp", "_stretch", F.col("_until").isNull(), "now_ns", *(["_last"] if "_last" in names else []), "seq"]
+    dealt = rows.repartition("grp", "_stretch").sortWithinPartitions(*order)
+    return dealt.mapInArrow(_fired(cooldown_ns, names), candidates.schema)
 
 
 def evidence(alerts: DataFrame, events: DataFrame, window_ns: int, samples: int = 5) -> DataFrame:

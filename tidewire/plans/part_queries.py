@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import elephants
 from ..shared import new_folder
 from ..sources.capture import _store
 from ..sources.capture_parts import scan_captures
@@ -87,3 +88,30 @@ def capture_in_parts(spark, d):
         F.col("captured_len").cast("long").alias("captured_len"),
         F.col("raw").substr(F.lit(9), F.length("raw")).cast("string").alias("props"),
     )
+
+
+def _one_session(spark: SparkSession, d: str):
+    """All events as the segments of one session: of five the third comes before the fourth's place is filled, and the last repeats it."""
+    k, off = F.col("event_id"), F.lit(False)
+    at = F.expr("event_id div 5 * 40") + F.element_at(F.array(*map(F.lit, [0, 10, 30, 20, 30])), (k % 5 + 1).cast("int"))
+    return spark.read.parquet(f"{d}/events.parquet").select(
+        F.lit("tcp|all").alias("key"), k.alias("seq"), F.lit(True).alias("from_a"), (k * 1000).alias("ts_ns"), ((F.lit(4294967290) + at) % (1 << 32)).alias("tcp_seq"),
+        off.alias("syn"), F.lit(True).alias("ack"), off.alias("fin"), off.alias("rst"), F.lit(b"0123456789").alias("data"),
+    )
+
+
+@query("""
+SELECT event_id AS seq, CASE event_id % 5 WHEN 2 THEN 'buffered' WHEN 4 THEN 'retransmission' ELSE 'in_order' END AS verdict, CASE event_id % 5 WHEN 2 THEN 10 ELSE 0 END AS amount FROM events""")
+def reassembly_one_session(spark, d):
+    """One session with every segment there is, folded by many tasks."""
+    return elephants.Reassembled(_one_session(spark, d), stretch=2048).verdicts().select("seq", "verdict", F.col("amount").cast("int").alias("amount"))
+
+
+@query("""
+SELECT 'tcp|all' AS key, CASE WHEN n % 5 = 3 THEN 'incomplete' ELSE 'active' END AS state,
+    CAST(n // 5 * 40 + CASE n % 5 WHEN 0 THEN 0 WHEN 1 THEN 10 WHEN 4 THEN 40 ELSE 20 END AS BIGINT) AS ready_bytes, CAST(CASE WHEN n % 5 = 3 THEN 1 ELSE 0 END AS BIGINT) AS holes
+FROM (SELECT count(*) AS n FROM events) WHERE n > 0""")
+def reassembly_one_session_streams(spark, d):
+    """The state and holes of the same session."""
+    found = elephants.Reassembled(_one_session(spark, d), stretch=2048).streams()
+    return found.select("key", "state", "ready_bytes", F.size("missing").cast("long").alias("holes"))
