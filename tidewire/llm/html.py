@@ -39,8 +39,13 @@ from .files import release_memory
 #: Elements by their role in HTML.
 CONTAINERS = frozenset("html body div section article main nav header footer aside form ul ol dl table figure details dialog fieldset blockquote".split())
 BREAKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption figcaption pre address hr summary thead tbody tfoot legend center".split()) | CONTAINERS
-HIDDEN = frozenset("script style noscript template head title iframe svg math object select option textarea button canvas audio video label input".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math".split())
+HIDDEN = frozenset("script style noscript template title iframe svg math object select option textarea button canvas audio video label input".split())
+RAW = frozenset("script style iframe textarea".split())
+HEAD = frozenset("head title meta link base style script noscript template".split())
+#: Hidden elements without blocks inside: where their end tag is missing, a block ends them; these also end where a container begins.
+PHRASING, SHORT = frozenset("select option button label title".split()), frozenset("option title".split())
+#: Elements whose end tag ends an option.
+OPTIONS = frozenset("select datalist optgroup".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 AROUND = frozenset("nav footer aside form dialog".split())
 #: Flags before a container's key in a path: stands around or is main by its element, or by the words of its class.
@@ -78,8 +83,8 @@ def blocks(page: str) -> tuple[list[tuple[str, str, int]], list[str]]:
     out: list[tuple[str, str, int]] = []
     stream: list[str] = []
     text: list[str] = []
-    linked, in_link = 0, False
-    hidden = 0
+    linked, in_link, in_head = 0, False, False
+    hidden, within = 0, 0  # open elements of the hidden one's name, and containers open inside it
     hidden_name, tag, path = "", "text", ""
 
     def flush() -> None:
@@ -102,11 +107,36 @@ def blocks(page: str) -> tuple[list[tuple[str, str, int]], list[str]]:
             inside = inside or flag in (MAIN_TAG, MAIN_WORD)
         return ">".join(parts)
 
+    def ends_hidden(name: str, close: str, attributes: str) -> bool:
+        """Whether what is hidden is over before this tag; an element without an end tag ends with its container."""
+        nonlocal hidden, within
+        if name == hidden_name:
+            if close:
+                hidden -= 1
+            elif name != "option" and not attributes.rstrip().endswith("/"):
+                hidden += 1
+            return False
+        if name in CONTAINERS:
+            if not within and (close or hidden_name in SHORT):
+                return True
+            within += -1 if close else 1
+            return False
+        if hidden_name == "option" and close and name in OPTIONS or hidden_name == "title" and name in ("head", "body"):
+            return True
+        return not within and name in BREAKS and hidden_name in PHRASING
+
+    def skip_raw(name: str) -> int:
+        end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+        return end.end() if end else len(page)
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at and not hidden:
-            text.append(html.unescape(page[at : m.start()]))
-            linked += len(text[-1].strip()) if in_link else 0
+            if in_head and not page[at : m.start()].isspace():
+                in_head = False
+            if not in_head:
+                text.append(html.unescape(page[at : m.start()]))
+                linked += len(text[-1].strip()) if in_link else 0
         if m.start() < at:
             continue
         at = m.end()
@@ -115,17 +145,24 @@ def blocks(page: str) -> tuple[list[tuple[str, str, int]], list[str]]:
             continue
         name = name.lower()
         if hidden:
-            if name == hidden_name:
-                hidden += -1 if close else 0 if name in RAW else 1
+            if name in RAW and not close:  # nothing inside is markup
+                at = skip_raw(name)
+                continue
+            if not ends_hidden(name, close, attributes):
+                continue
+            hidden = 0
+        if name == "head":
+            in_head = not close
             continue
+        if in_head and (name not in HEAD or close and name in CONTAINERS):
+            in_head = False
         if name in HIDDEN:
             if close or name in VOID or attributes.rstrip().endswith("/"):
                 continue
-            if name in RAW:  # nothing inside is markup
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            if name in RAW:
+                at = skip_raw(name)
                 continue
-            hidden, hidden_name = 1, name
+            hidden, within, hidden_name = 1, 0, name
             continue
         if name in BREAKS:
             flush()
