@@ -692,3 +692,17 @@ def test_pipeline_of_odd_rows(spark):
             out = stage(spark, frame, sf)
             assert out.columns == frame.columns
             out.count()
+
+
+def test_registered_packing_sweeps_over_cells(spark, monkeypatch):
+    """On a table of a thousand documents the query runs several rounds over several cells, and packs as well as best fit."""
+    from tidewire.llm import queries
+
+    rounds, cells = [], packing.cells
+    monkeypatch.setattr(packing, "cells", lambda counts, *more: rounds.append(len((own := cells(counts, *more)).least)) or own)
+    sf = "/root/testdata/sf0.01"
+    once = queries.op3_best_fit_packing(spark, sf).select("doc_id", "piece", "length", "sequence_id", "offset").collect()
+    assert len(rounds) > 1 and rounds[0] >= 8 and rounds[-1] == 1
+    best = plain_best_fit([r.length for r in once], 1024)
+    assert len({r.sequence_id for r in once}) <= 1.01 * best
+    assert sorted(map(tuple, once)) == sorted(map(tuple, queries.op3_best_fit_packing(spark, sf).select("doc_id", "piece", "length", "sequence_id", "offset").collect()))

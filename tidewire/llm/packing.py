@@ -5,8 +5,8 @@ Open pieces and the gaps of sequences are range-sorted together by length, longe
 holds them, and hands on what finds none; pieces so left over then take their successors, gaps of the nearest cells
 above, and as many pieces may want one gap, they are told apart by rank (:func:`successors`). The gaps are updated,
 take their new place in the order, and the next round begins. A piece opens a sequence only if it is among the
-longest open ones and longer than what gaps are left. When few rows are open they are one cell, and the round is best
-fit itself. The driver sees counts by length and by cell; pieces and gaps are narrow rows that are only sorted,
+longest open ones and longer than what gaps are left. There are several cells until a few hundred rows are open; these are one cell,
+and the last round is best fit itself. The driver sees counts by length and by cell; pieces and gaps are narrow rows that are only sorted,
 matched and joined in tasks of bounded size.
 """
 
@@ -30,6 +30,8 @@ SEQUENCE = 1024
 PIECES = "doc_id long, _h long, piece int, start long, length long, ids_crc32 long"
 #: Rows of a cell, unless that made more than ``CELLS`` cells; then cells are larger.
 CELL_ROWS, CELLS = 50_000, 50_000
+#: There are so many cells at least, until no more than so many rows are open.
+LEAST_CELLS, LAST_ROWS = 8, 512
 #: Gaps that hold the longest open pieces keep them from opening sequences, unless they are fewer than this share of them.
 FEW_GAPS = 0.001
 
@@ -73,8 +75,9 @@ class Cells:
 
 
 def cells(counts: dict[int, int], size: int, most: int = CELL_ROWS) -> Cells:
-    """Ranges of lengths with about ``most`` rows each; a length with more rows is dealt over several cells."""
-    most = max(most, -(-sum(counts.values()) // CELLS))
+    """Ranges of lengths with about ``most`` rows each, but ``LEAST_CELLS`` while more than ``LAST_ROWS`` are open; a length with more rows is dealt over several cells."""
+    rows = sum(counts.values())
+    most = max(min(most, -(-rows // LEAST_CELLS)) if rows > LAST_ROWS else most, -(-rows // CELLS))
     first, parts, least, rows = [0] * (size + 1), [1] * (size + 1), [], 0
     for n in sorted(counts, reverse=True):
         if not least or rows + counts[n] > most:
