@@ -58,6 +58,9 @@ class WindowState:
         if self.strict and len(self.ts) > STRICT_EVENTS:
             self._drop(len(self.ts) // 2)
             self.degraded = True
+        return self.value()
+
+    def value(self) -> float:
         m = self.rule.metric
         return float(len(self.counts) if m == "distinct_count" else self.total if m == "sum_bytes" else self.hits / max(len(self.ts), 1) if m == "ratio" else len(self.ts))
 
@@ -93,11 +96,58 @@ class RuleProcessor(StatefulProcessor):
         pass
 
 
-def stream_alerts(events: DataFrame, rule: Rule, ttl_ms: int | None = None, strict: bool = False) -> DataFrame:
+class FlushProcessor(RuleProcessor):
+    """Besides, a group that is idle for ``idle_ns`` by the watermark ends: its last window is looked at once more, and its state goes."""
+
+    def __init__(self, rule: Rule, idle_ns: int, strict: bool = False):
+        super().__init__(rule, None, strict)
+        self.idle_ns = idle_ns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.last = handle.getValueState("last", "seq long, ts_ns long, timer long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        held = list(rows)
+        yield from super().handleInputRows(key, iter(held), timer_values)
+        seq, ts, old = self.last.get() if self.last.exists() else (None, None, None)
+        for batch in held:
+            last = batch.sort_values(["ts_ns", "seq"], kind="stable").iloc[-1]
+            if ts is None or (int(last.ts_ns), int(last.seq)) > (ts, seq):
+                seq, ts = int(last.seq), int(last.ts_ns)
+        timer = (ts + self.idle_ns) // 1_000_000 + 1
+        if timer != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(timer)
+        self.last.update((seq, ts, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        columns = ["grp", "seq", "ts_ns", "now_ns", "value", "degraded"][: None if self.strict else -1]
+        held, (seq, ts, _) = self.state.get(), self.last.get()
+        window = WindowState(self.rule, *held[:5], strict=self.strict)
+        window.degraded = bool(held[5])
+        now = timerValues.getCurrentWatermarkInMs() * 1_000_000
+        value = window.value()
+        out = [(key[0], seq, ts, now, value, window.degraded)] if window.ts and window.fires(value, now) else []
+        self.state.clear()
+        self.last.clear()
+        yield pd.DataFrame([r[: len(columns)] for r in out], columns=columns)
+
+
+def stream_alerts(events: DataFrame, rule: Rule, ttl_ms: int | None = None, strict: bool = False, flush_idle_ns: int | None = None) -> DataFrame:
     """Alerts of a streaming event table in append mode. The match filters before rows move to their group's state.
 
     Needs the RocksDB state store. ``ttl_ms`` forgets groups that are idle for so long. ``strict`` holds a window to
     4,096 events; alerts of a group that had more are marked in a further column, ``degraded``.
+
+    ``flush_idle_ns`` ends groups: one without an event for so long, by the watermark of its rule's events, has its last window looked at once more with
+    the watermark as now, as :func:`~..operators.rules.evaluate` does with ``flush`` when a capture ends, and is forgotten. To end all, let an event follow
+    that is so much later. It takes the place of ``ttl_ms``.
     """
     own = matched_events(events, rule).withColumn("x", F.col("x").cast("string"))
+    if flush_idle_ns is not None:
+        timed = own.withColumn("event_time", F.timestamp_micros(F.expr("ts_ns div 1000"))).withWatermark("event_time", "0 seconds")
+        return timed.groupBy("grp").transformWithStateInPandas(statefulProcessor=FlushProcessor(rule, flush_idle_ns, strict), outputStructType=ALERTS + (", degraded boolean" if strict else ""), outputMode="Append", timeMode="EventTime")
     return own.groupBy("grp").transformWithStateInPandas(statefulProcessor=RuleProcessor(rule, ttl_ms, strict), outputStructType=ALERTS + (", degraded boolean" if strict else ""), outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
