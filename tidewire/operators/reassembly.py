@@ -270,6 +270,34 @@ def idle_streams(found: DataFrame, now_ns: int, idle_ns: int = IDLE_NS) -> DataF
     return found.where(F.lit(now_ns) - F.col("last_ts") > idle_ns).select("key", "from_client", "state", F.lit("timeout").alias("reason"))
 
 
+#: Sessions that are taken in, by their first segment's place in the capture.
+MAX_SESSIONS = 100_000
+
+
+def admitted(segments: DataFrame, most: int = MAX_SESSIONS) -> tuple[DataFrame, DataFrame]:
+    """Segments of the first ``most`` sessions, and those that are refused, which belong to sessions that came when as many were there.
+
+    First segments are found with partial minima; of them the ``most`` least are kept by a bounded sort in each task, and the two joins
+    on the key move sessions as reassembly does. Nothing but those keys, a number that the parameter sets, is in one place.
+    """
+    firsts = segments.groupBy("key").agg(F.min("seq").alias("_first"))
+    kept = firsts.orderBy("_first", "key").limit(most).select("key")
+    return segments.join(kept, "key", "left_semi"), segments.join(kept, "key", "left_anti")
+
+
+def capped_verdicts(segments: DataFrame, most: int = MAX_SESSIONS, limits: Limits | None = None, first_wins: bool = True) -> DataFrame:
+    """:func:`verdicts` with a cap on sessions: a refused segment has the verdict ``dropped`` and no direction."""
+    taken, refused = admitted(segments, most)
+    gone = refused.select("key", "seq", "from_a", F.lit(None).cast("string").alias("direction"), F.lit("dropped").alias("verdict"), F.lit(0).cast("long").alias("amount"))
+    return verdicts(taken, limits, first_wins).unionByName(gone)
+
+
+def refused_counts(found: DataFrame) -> DataFrame:
+    """(dropped_sessions, dropped_segments) of capped verdicts; the interface's counter goes up by one each refused segment."""
+    gone = found.where(F.col("verdict") == "dropped").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return gone.agg(F.count(F.lit(1)).alias("dropped_sessions"), F.coalesce(F.sum("n"), F.lit(0)).alias("dropped_segments"))
+
+
 RECONSTRUCT_MOST = 262_144
 
 

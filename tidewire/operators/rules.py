@@ -281,25 +281,52 @@ def evidence(alerts: DataFrame, events: DataFrame, window_ns: int, samples: int
     return alerts.join(found.withColumn("sample_packets", F.array_sort(F.array_distinct("_s"))).drop("_s"), ["grp", "seq", "now_ns"])
 
 
-def evaluate(events: DataFrame, rule: Rule, flush: bool = False, with_evidence: bool = False) -> DataFrame:
+def in_arrival_order(events: DataFrame) -> DataFrame:
+    """Events (grp, seq, ts_ns) as a window that is fed by arrival sees them: ``ts_ns`` and ``now_ns`` become the group's greatest time so far, ``own_ts`` stays.
+
+    A window fed by arrival drops events from its front, in the order they came, while they are older than the greatest time less the window. So what it
+    holds at an event begins with the first one whose greatest time so far is within the window, and late events behind that one stay in. By the greatest time so
+    far, which never falls, that is an ordinary window. Maxima are taken over stretches of packets, and of a group one row a stretch passes a task.
+    """
+    cut = events.withColumn("_s", floor_div("seq", ERRORS_A_STRETCH))
+    tops = cut.groupBy("grp", "_s").agg(F.max("ts_ns").alias("_top"))
+    before = F.max("_top").over(Window.partitionBy("grp").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
+    heads = tops.select(F.col("grp").alias("_g"), F.col("_s").alias("_gs"), before.alias("_before"))
+    run = F.max("ts_ns").over(Window.partitionBy("grp", "_s").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    joined = cut.withColumn("_run", run).join(heads, F.col("grp").eqNullSafe(F.col("_g")) & (F.col("_s") == F.col("_gs")))
+    top = F.greatest("_run", "_before")  # which ignores nulls
+    return joined.withColumn("own_ts", F.col("ts_ns")).withColumn("ts_ns", top).withColumn("now_ns", F.col("ts_ns")).drop("_s", "_g", "_gs", "_before", "_run")
+
+
+def evaluate(events: DataFrame, rule: Rule, flush: bool = False, with_evidence: bool = False, compat: bool = False) -> DataFrame:
     """Alerts of one rule: (rule_id, severity, grp, seq, ts_ns, now_ns, value), and evidence if asked for.
 
     ``flush`` looks at each group's last window once more when the capture ends, with the capture's last time as
     now: a window that is still over the threshold fires again if its cooldown is over. Decode errors have no time of
     their own (ts 0), so their windows never slide and count all there is.
+
+    ``compat`` takes events in the order they arrived (by seq) where a capture's times are out of order, see :func:`in_arrival_order`; now is the group's
+    greatest time so far then. Where times are in order nothing changes.
     """
     own = matched_events(events, rule)
+    compat = compat and not rule.decode_scope
+    if compat:
+        own = in_arrival_order(own)
+    kept = ["own_ts"] if compat else []
     values = running_counts(own) if rule.decode_scope and rule.metric == "count" else window_values(own, rule.window_ns, rule.metric, rule.field_gt)
-    over = values.where(threshold_met(F.col("value"), rule.operator, rule.value)).select("grp", "seq", "ts_ns", "now_ns", "value")
+    over = values.where(threshold_met(F.col("value"), rule.operator, rule.value)).select("grp", "seq", "ts_ns", "now_ns", "value", *kept)
     if flush:
         final = events.agg(F.max("now_ns" if "now_ns" in events.columns else "ts_ns").alias("_final"))
-        last = values.groupBy("grp").agg(F.max(F.struct("ts_ns", "seq", "value")).alias("l")).select("grp", F.col("l.seq").alias("seq"), F.col("l.ts_ns").alias("ts_ns"), F.col("l.value").alias("value"))
-        again = last.where(threshold_met(F.col("value"), rule.operator, rule.value)).crossJoin(final).select("grp", "seq", "ts_ns", F.col("_final").alias("now_ns"), "value")  # one number
+        last = values.groupBy("grp").agg(F.max(F.struct("ts_ns", "seq", "value", *kept)).alias("l")).select("grp", *[F.col(f"l.{c}").alias(c) for c in ("seq", "ts_ns", "value", *kept)])
+        again = last.where(threshold_met(F.col("value"), rule.operator, rule.value)).crossJoin(final).select("grp", "seq", "ts_ns", F.col("_final").alias("now_ns"), "value", *kept)  # one number
         over = over.withColumn("_last", F.lit(0)).unionByName(again.withColumn("_last", F.lit(1)))
     fired = cooled(over, rule.cooldown_ns)
     fired = fired.drop("_last") if flush else fired
     if with_evidence:
         fired = evidence(fired, own, rule.window_ns)
+    if compat:
+        fired = fired.withColumn("ts_ns", F.col("own_ts")).drop("own_ts")
+        fired = fired.withColumn("last_ts", F.col("ts_ns")) if with_evidence else fired
     return fired.select(F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.lit(rule.hash).alias("rule_hash"), "*")
 
 

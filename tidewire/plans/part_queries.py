@@ -8,11 +8,14 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import elephants
+from ..operators import elephants, reassembly, rules
 from ..shared import new_folder
 from ..sources.capture import _store
 from ..sources.capture_parts import scan_captures
+from .capture_queries import _trial
+from .flows import flows
 from .registry import query
+from .rule_queries import _SRC, DAY, _alerts_sql, _rule
 
 #: Events of a file, and bytes of a part: a file is some tens of KB and is read in several parts.
 FILE_EVENTS, PART_BYTES = 1000, 16 << 10
@@ -115,3 +118,43 @@ def reassembly_one_session_streams(spark, d):
     """The state and holes of the same session."""
     found = elephants.Reassembled(_one_session(spark, d), stretch=2048).streams()
     return found.select("key", "state", "ready_bytes", F.size("missing").cast("long").alias("holes"))
+
+
+_CAPPED = """
+WITH f AS (SELECT l_orderkey, count(*) AS n, row_number() OVER (ORDER BY min(l_orderkey % 1000 * 100000000 + l_orderkey)) AS place FROM lineitem GROUP BY l_orderkey)"""
+
+
+def _arriving(spark: SparkSession, d: str):
+    """Streams of orders whose segments come at places of their own, orders mixed with one another."""
+    order = F.split("key", "[|]")[1].cast("long")
+    return _trial(spark, d).withColumn("seq", (order % 1000 * 100_000_000 + order) * 1000 + F.col("k"))
+
+
+@query(_CAPPED + """
+SELECT 'tcp|' || l_orderkey AS key, n AS segments, CASE WHEN place > 300 THEN n ELSE 0 END AS dropped FROM f""")
+def reassembly_session_cap(spark, d):
+    """After 300 sessions, by their first segments' places, segments of others are refused."""
+    found = reassembly.capped_verdicts(_arriving(spark, d), 300)
+    return found.groupBy("key").agg(F.count(F.lit(1)).alias("segments"), F.count_if(F.col("verdict") == "dropped").alias("dropped"))
+
+
+@query(_CAPPED + """
+SELECT count(*) AS dropped_sessions, CAST(coalesce(sum(n), 0) AS BIGINT) AS dropped_segments FROM f WHERE place > 300""")
+def reassembly_refused(spark, d):
+    """The counter."""
+    return reassembly.refused_counts(reassembly.capped_verdicts(_arriving(spark, d), 300))
+
+
+_BLOCK = 200
+_TURNED = f"seq // {_BLOCK} * {_BLOCK} + {_BLOCK - 1} - seq % {_BLOCK}"
+
+
+@query(_alerts_sql(
+    f"SELECT grp, seq, max(ts_ns) OVER (PARTITION BY grp ORDER BY seq ROWS UNBOUNDED PRECEDING) AS ts_ns, bytes, x FROM (SELECT * REPLACE ({_TURNED} AS seq) FROM ({_SRC.format(x='NULL', where="proto = 'tcp'")}))",
+    "count(*)", 2 * DAY, ">", 4, DAY,
+))
+def rule_count_by_arrival(spark, d):
+    """Windows fed by arrival, over a capture in which each block of 200 packets came backwards; ts_ns is the time the window had then."""
+    turned = flows(spark, d).withColumn("seq", F.expr(_TURNED.replace("//", "div")))
+    found = rules.evaluate(turned, _rule(group_by=("src_ip",), match={"protocol": "tcp"}), compat=True)
+    return found.select("grp", "seq", F.col("now_ns").alias("ts_ns"), "value")
