@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import KEEP_FIRST, STORED_KEYS
+from .table_log import TableLog
 
 SQL_MOST = 10_000
 #: Changes of the stored tables' form: version, what it does, and the columns that it adds.
@@ -31,43 +32,31 @@ def upsert(old: DataFrame | None, new: DataFrame, keys: list[str], keep_first: b
 
 
 class Store:
-    """The eight tables as Parquet under one folder, in versions: a write makes a new version and then moves the pointer."""
+    """The eight tables under one folder, each a log of deltas (:class:`~.table_log.TableLog`), so a task costs its own rows to store."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def _versions(self, table: str) -> list[int]:
-        fs, path = self._fs()
-        top = path(f"{self.folder}/{table}")
-        if not fs.exists(top):
-            return []
-        return sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(top) if fs.exists(path(s.getPath(), "_SUCCESS")))
+    def log(self, table: str) -> TableLog:
+        if table not in STORED_KEYS:
+            raise ValueError(f"{table} isn't one of the stored tables")
+        return TableLog(self.spark, f"{self.folder}/{table}", STORED_KEYS[table], table in KEEP_FIRST)
 
     def read(self, table: str) -> DataFrame | None:
-        versions = self._versions(table)
-        return self.spark.read.parquet(f"{self.folder}/{table}/v{versions[-1]}") if versions else None
+        return self.log(table).read()
 
     def write(self, table: str, rows: DataFrame) -> None:
-        if table not in STORED_KEYS:
-            raise ValueError(f"{table} isn't one of the stored tables")
-        merged = upsert(self.read(table), rows, STORED_KEYS[table], table in KEEP_FIRST)
-        merged.write.parquet(f"{self.folder}/{table}/v{(self._versions(table) or [0])[-1] + 1}")
+        self.log(table).append(rows)
 
     def migration_status(self) -> dict[str, list[tuple[int, str]]]:
         """The migrations that are applied and those that are pending, in order of version."""
-        frame = self._applied()
+        frame = self._migrations().read()
         done = {r.version for r in frame.collect()} if frame is not None else set()  # a row a migration
         told = [(v, text) for v, text, _ in MIGRATIONS]
         return {"applied": [m for m in told if m[0] in done], "pending": [m for m in told if m[0] not in done]}
 
-    def _applied(self) -> DataFrame | None:
-        versions = self._versions("_migrations")
-        return self.spark.read.parquet(f"{self.folder}/_migrations/v{versions[-1]}") if versions else None
+    def _migrations(self) -> TableLog:
+        return TableLog(self.spark, f"{self.folder}/_migrations", ["version"])
 
     def apply_migrations(self) -> list[tuple[int, str]]:
         """Brings stored tables to the newest form and tells which migrations ran; a second time none does."""
@@ -79,10 +68,8 @@ class Store:
                 frame = self.read(table)
                 missing = {c: kind for c, kind in added.items() if frame is not None and c not in frame.columns}
                 if missing:
-                    wide = frame.withColumns({c: F.lit(None).cast(kind) for c, kind in missing.items()})
-                    wide.write.parquet(f"{self.folder}/{table}/v{self._versions(table)[-1] + 1}")
-            old, new = self._applied(), self.spark.createDataFrame([(version, text)], "version int, description string")
-            (new if old is None else old.unionByName(new)).write.parquet(f"{self.folder}/_migrations/v{(self._versions('_migrations') or [0])[-1] + 1}")
+                    self.log(table).append(frame.limit(0).withColumns({c: F.lit(None).cast(kind) for c, kind in missing.items()}))  # a read has all entries' columns
+            self._migrations().append(self.spark.createDataFrame([(version, text)], "version int, description string"))
         return pending
 
     def views(self) -> list[str]:
