@@ -238,3 +238,10 @@ def test_migrations(spark, tmp_path):
     assert [v for v, _ in held.migration_status()["pending"]] == [1, 2]
     assert [v for v, _ in held.apply_migrations()] == [1, 2] and held.apply_migrations() == []
     assert held.read("alerts").columns == ["id", "task_id", "first_ts", "session_id"] and held.read("alerts").count() == 1
+
+
+def test_summarized_arguments():
+    from tidewire.operators.trace import summarized
+
+    assert summarized("x" * 128) == "x" * 128 and summarized("x" * 129) == "<129 chars>" and summarized(b"abc") == "<3 bytes>"
+    assert summarized({"a": list(range(40)), "b": ["y" * 200, None, 1.5]}) == {"a": [*range(32), "<8 more>"], "b": ["<200 chars>", None, 1.5]}

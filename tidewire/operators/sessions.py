@@ -186,8 +186,8 @@ def incomplete_sessions(frame: DataFrame) -> DataFrame:
 
 def protocols_map(summary: DataFrame) -> DataFrame:
     """The summary's transport counts as a map of those there are."""
-    pairs = F.array(*[F.struct(F.lit(p), F.col(p)) for p in TRANSPORTS])
-    return summary.withColumn("protocols", F.map_from_entries(F.filter(pairs, lambda x: x["col2"] > 0)))
+    pairs = F.array(*[F.struct(F.lit(p).alias("key"), F.col(p).alias("value")) for p in TRANSPORTS])
+    return summary.withColumn("protocols", F.map_from_entries(F.filter(pairs, lambda x: x["value"] > 0)))
 
 
 def error_counts(errors: DataFrame, n: int | None = None) -> DataFrame:

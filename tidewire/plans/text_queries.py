@@ -130,3 +130,28 @@ def fn_state_words(spark, d):
 def fn_even_sample(spark, d):
     """Up to five values at even distances."""
     return _t(spark, d, "events").select("event_id", F.array_join(F.transform(X.even_sample(F.sequence(F.lit(0), F.col("event_id") % 23)), lambda x: x.cast("string")), ",").alias("picked"))
+
+
+_SAID = "CASE WHEN seq % 11 = 0 THEN 'SCTP' WHEN seq % 13 = 0 THEN NULL WHEN seq % 3 = 0 THEN upper(proto) ELSE proto END"
+
+
+@query(W + f"SELECT seq, CASE WHEN said IS NULL THEN NULL WHEN lower(said) IN ('tcp', 'udp', 'icmp', 'icmpv6', 'arp', 'ipv4', 'ipv6', 'other') THEN lower(said) ELSE 'other' END AS name FROM (SELECT seq, {_SAID} AS said FROM flows)")
+def fn_protocol_name(spark, d):
+    """Names in any case, those that aren't known, and none."""
+    return flows(spark, d).select("seq", F.expr(_SAID).alias("said")).select("seq", X.protocol_name("said").alias("name"))
+
+
+@query(W + "SELECT seq, 2 AS n, seq AS first_start, seq + length AS first_end, seq + 2000 AS last_start, seq + 2000 + length AS last_end FROM flows")
+def fn_ranges_to_pairs(spark, d):
+    """X22."""
+    span = lambda at: F.struct(at.alias("start"), (at + F.col("length")).alias("end"))
+    pairs = flows(spark, d).select("seq", X.ranges_to_pairs(F.array(span(F.col("seq")), span(F.col("seq") + 2000))).alias("p"))
+    return pairs.select("seq", F.size("p").alias("n"), F.col("p")[0][0].alias("first_start"), F.col("p")[0][1].alias("first_end"), F.col("p")[1][0].alias("last_start"), F.col("p")[1][1].alias("last_end"))
+
+
+@query(W + "SELECT proto, count(*) AS packets FROM flows WHERE proto IN ('tcp', 'udp', 'icmp', 'icmpv6') GROUP BY proto")
+def summary_protocols(spark, d):
+    """The summary's transport counts as a map, one row an entry."""
+    from ..operators.sessions import capture_summary, protocols_map
+
+    return protocols_map(capture_summary(flows(spark, d))).select(F.explode("protocols").alias("proto", "packets"))
