@@ -23,6 +23,10 @@ SEVERITIES = ("info", "low", "medium", "high", "critical")
 RULE_ID = re.compile(r"[A-Z][A-Z0-9]*(-[A-Z0-9]+)*-[0-9]{3}")
 
 
+#: A folder of rules beside the built-in ones, which shows a ratio, sessions and distinct names: ``load_rules(EXAMPLES)``.
+EXAMPLES = Path(__file__).parent / "example_rules"
+
+
 class RuleError(ValueError):
     pass
 

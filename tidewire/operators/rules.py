@@ -98,9 +98,9 @@ def matched_events(events: DataFrame, rule: Rule) -> DataFrame:
     return out
 
 
-def _stretched(events: DataFrame, window_ns: int) -> DataFrame:
+def stretched(events: DataFrame, window_ns: int | Column) -> DataFrame:
     """Adds stretch and ahead; an event near the end of a stretch is also there, ahead of the next one, as its past."""
-    size = max(window_ns, 1) * WINDOWS_A_STRETCH
+    size = (max(window_ns, 1) if isinstance(window_ns, int) else F.greatest(window_ns, F.lit(1))) * WINDOWS_A_STRETCH
     own = floor_div("ts_ns", size)
     late = (F.col("ts_ns") - own * size) >= size - window_ns
     spots = F.when(late, F.array(F.struct(own.alias("s"), F.lit(False).alias("a")), F.struct((own + 1).alias("s"), F.lit(True).alias("a")))).otherwise(F.array(F.struct(own.alias("s"), F.lit(False).alias("a"))))
@@ -109,7 +109,7 @@ def _stretched(events: DataFrame, window_ns: int) -> DataFrame:
 
 def window_values(events: DataFrame, window_ns: int, metric: str = "count", field_gt: float | None = None) -> DataFrame:
     """The metric at every event of (grp, seq, ts_ns, now_ns, bytes, x)."""
-    cut = _stretched(events, window_ns)
+    cut = stretched(events, window_ns)
     by = Window.partitionBy("grp", "stretch")
     upto = by.orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     gone = by.orderBy("ts_ns").rangeBetween(Window.unboundedPreceding, -window_ns - 1)
@@ -258,12 +258,13 @@ def cooled(candidates: DataFrame, cooldown_ns: int) -> DataFrame:
     return dealt.mapInArrow(_fired(cooldown_ns, names), candidates.schema)
 
 
-def evidence(alerts: DataFrame, events: DataFrame, window_ns: int, samples: int = 5) -> DataFrame:
+def evidence(alerts: DataFrame, events: DataFrame, window_ns: int | Column, samples: int = 5) -> DataFrame:
     """Adds what the window of each alert held: first and last times, least and greatest seq, and sampled seqs.
 
-    An equality join on (group, stretch of one window's length); an alert looks into the stretches its window touches.
+    An equality join on (group, stretch of one window's length); an alert looks into the stretches its window touches. A window given as a column is of
+    what both tables have.
     """
-    width = max(window_ns, 1)
+    width = max(window_ns, 1) if isinstance(window_ns, int) else F.greatest(window_ns, F.lit(1))
     keyed = alerts.withColumn("_from", F.col("ts_ns") - window_ns)
     spots = F.sequence(floor_div("_from", width), floor_div("ts_ns", width))
     wide = keyed.select("*", F.explode(spots).alias("_s"))
@@ -328,23 +329,3 @@ def evaluate(events: DataFrame, rule: Rule, flush: bool = False, with_evidence:
         fired = fired.withColumn("ts_ns", F.col("own_ts")).drop("own_ts")
         fired = fired.withColumn("last_ts", F.col("ts_ns")) if with_evidence else fired
     return fired.select(F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.lit(rule.hash).alias("rule_hash"), "*")
-
-
-def evaluate_all(packets: DataFrame, rules, errors: DataFrame | None = None, session_frame: DataFrame | None = None, flush: bool = True) -> DataFrame:
-    """Alerts of all rules, each over the events of its scope, as one table with evidence and deterministic ids."""
-    parts = []
-    for rule in rules:
-        if rule.decode_scope:
-            source = errors.withColumn("seq", F.col("packet_index")) if errors is not None and "seq" not in errors.columns else errors
-            if source is not None and "now_ns" not in source.columns and "ts_ns" in source.columns:
-                source = source.withColumn("now_ns", F.col("ts_ns"))
-        elif rule.scope == "session":
-            source = session_frame.select(F.lit(0).cast("long").alias("seq"), F.col("first_ts").alias("ts_ns"), F.col("last_ts").alias("now_ns"), "proto", "key") if session_frame is not None else None
-        else:
-            source = packets
-        if source is not None:
-            parts.append(evaluate(source, rule, flush=flush, with_evidence=True))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("id", F.concat(F.lit("alert_"), F.upper(F.substring(F.sha2(F.concat_ws("|", "rule_id", "grp", "seq", "now_ns"), 256), 1, 26))))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import reassembly, rules, sessions
+from ..operators import reassembly, sessions
 from ..operators.rule_files import load_rules
 from ..schemas import RAW
 from ..sources import synth
@@ -103,18 +103,6 @@ def reassembly_streams(spark, d):
     return reassembly.streams(_trial(spark, d)).select("key", "state", "ready_bytes")
 
 
-@query()
-def builtin_rules(spark, d):
-    """The built-in rules over frames of a flood, a sweep, a tunnel and broken packets, evidence and ids included."""
-    frames = [(k, f) for k, p in enumerate(("syn-flood", "port-sweep", "dns-tunnel", "malformed")) for f in synth.traffic(p, 1100 if p == "malformed" else 400, seed=k, start_ns=1_700_000_000_000_000_000 + k * 10**12)]
-    rows = [(i, ts, "ns", 0, 1, len(f), len(f), f) for i, (_, (ts, f)) in enumerate(frames)]
-    packets = decode(spark.createDataFrame(rows, RAW))
-    from .engine import Task
-
-    task = Task(spark, "task_demo", "synthetic", packets, load_rules())
-    return task._alerts().select("id", "rule_id", "severity", "grp", "value", "first_packet", "last_packet")
-
-
 @query("SELECT 'tcp|' || l_orderkey AS key, CASE WHEN n % 5 = 3 THEN 'incomplete' ELSE 'active' END AS state, 'timeout' AS reason FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) WHERE 5000 - (n - 1) * 1000 > 2500")
 def idle_streams(spark, d):
     """Streams that were quiet for too long when the capture ended."""

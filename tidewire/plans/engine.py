@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import evidence, filters, reassembly, rules, sessions, store
+from ..operators import evidence, filters, reassembly, rule_pass, sessions, store
 from ..operators.rule_files import RuleSet, load_rules
 from ..schemas import LEDGER, PACKETS
 from ..sources.capture_parts import scan_with_digests
@@ -71,7 +71,7 @@ class Task:
 
     def _alerts(self) -> DataFrame:
         """All alerts; those of rules over sessions that group by session name theirs."""
-        found = rules.evaluate_all(self.events, list(self.rule_set), self.errors, self.sessions)
+        found = rule_pass.evaluate_all(self.events, list(self.rule_set), self.errors, self.sessions)
         own = [r.id for r in self.rule_set if r.scope == "session" and list(r.group_by) == ["session"]]
         if not own:
             return found.withColumn("session_id", F.lit(None).cast("string"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("packet_queries", "rule_queries", "text_queries", "table_queries", "capture_queries", "part_queries")
+MODULES = ("packet_queries", "rule_queries", "rule_set_queries", "text_queries", "table_queries", "capture_queries", "part_queries")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
