@@ -102,6 +102,12 @@ def test_findings_and_report(task, spark, tmp_path):
     to = store.Store(spark, str(tmp_path / "store"))
     task.persist(to)
     task.persist(to)
+    assert "UNVERIFIED" not in text
+    kept = list(task.found)
+    task.found.append({**kept[0], "title": "S-654321 spoke to 203.0.113.77 | and S-000001"})
+    again = render(task)
+    task.found[:] = kept
+    assert "UNVERIFIED CONTENT: 2 items" in again and "[unverified by engine] spoke to [unverified by engine]" in again and "and S-000001" in again
     task.submit_report_meta(to, {"a": 1})
     assert to.read("sessions").count() == 1 and to.read("findings").count() == 2 and to.read("tool_calls").count() == len(task.calls)
     assert set(to.views()) >= {"sessions", "findings", "analysis_tasks"}
