@@ -13,7 +13,7 @@ from ..operators.rule_files import load_rules
 from ..schemas import RAW
 from ..sources import synth
 from ..sources.decode import decode
-from .flows import FLOWS_SQL, SESSIONS_SQL, flows
+from .flows import FLOWS_SQL, SESSIONS_SQL, flows, off_wire, on_wire
 from .registry import query
 
 W = f"WITH {FLOWS_SQL} "
@@ -43,13 +43,15 @@ def framed(spark: SparkSession, d: str) -> DataFrame:
             yield pd.DataFrame({"packet_index": b["seq"], "ts_ns": b["ts_ns"], "precision": "us", "interface_id": b["interface_id"], "linktype": 1, "captured_len": [len(x) for x in raw], "original_len": [len(x) for x in raw], "raw": raw})
 
     own = flows(spark, d).select("seq", "ts_ns", "src", "src_port", "dst", "dst_port", "proto", "flags", "length", "interface_id", "vlan")
+    own = own.withColumns({c: on_wire(F.col(c)) for c in ("src", "dst")})
     return own.repartition(spark.sparkContext.defaultParallelism, "seq").mapInPandas(rows, RAW)
 
 
 @query(W + "SELECT seq, src, src_port, dst, dst_port, proto, flags, vlan, CASE WHEN proto = 'udp' AND (src_port = 53 OR dst_port = 53) THEN 'dns' END AS app, 0 AS n_errors FROM flows")
 def decode_frames(spark, d):
     """What frames were made from comes out of the decoder again."""
-    return sessions.flat_packets(decode(framed(spark, d))).select("seq", "src", "src_port", "dst", "dst_port", "proto", "flags", "vlan", "app", "n_errors")
+    own = sessions.flat_packets(decode(framed(spark, d))).withColumns({c: off_wire(F.col(c)) for c in ("src", "dst")})
+    return own.select("seq", "src", "src_port", "dst", "dst_port", "proto", "flags", "vlan", "app", "n_errors")
 
 
 @query(W + "SELECT seq, 'n' || seq || '.example.com' AS qname, CAST(seq & 65535 AS INT) AS transaction_id, 1 AS qtype, CAST(length('n' || seq || '.example.com') AS INT) AS qname_len FROM flows WHERE proto = 'udp'")
