@@ -42,3 +42,22 @@ def test_frames_of_any_user(spark, many_users, name):
 
 def test_rules_over_frames_of_any_user(spark, many_users):
     QUERIES["builtin_rules_on_frames"](spark, str(many_users)).collect()
+
+
+@pytest.fixture(scope="module")
+def many_sessions(tmp_path_factory):
+    """A little more than a million sessions, a user each."""
+    return events(tmp_path_factory.mktemp("many_sessions"), 1_050_000, "i")
+
+
+@pytest.mark.parametrize("name", ["conversations_by_packets", "packet_session_lookup", "session_table"])
+def test_ids_beyond_six_digits_are_those_of_the_sql(spark, many_sessions, name):
+    rows, *differ = compared(spark, many_sessions, name)
+    assert rows and differ == [0, 0]
+
+
+def test_the_operators_own_ids_stay_unique(spark):
+    from tidewire.operators.sessions import with_session_ids
+
+    ids = with_session_ids(spark.range(1_000_005).selectExpr("id AS first_seq"))
+    assert ids.select("id").distinct().count() == 1_000_005 and ids.where("first_seq = 1000004").first().id == "S-1000005"

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ..operators import reassembly, sessions
 from ..operators.rule_files import load_rules
 from ..schemas import RAW
+from ..shared import materialize
 from ..sources import synth
 from ..sources.decode import decode
-from .flows import FLOWS_SQL, SESSIONS_SQL, flows, off_wire, on_wire
+from .flows import FLOWS_SQL, SESSIONS_SQL, as_sql_ids, flows, off_wire, on_wire
 from .registry import query
 
 W = f"WITH {FLOWS_SQL} "
@@ -64,8 +65,9 @@ def decode_dns(spark, d):
 @query(f"WITH {FLOWS_SQL}, {SESSIONS_SQL} SELECT id, packets, syn, syn_ack, rst, fin, client_is_a, basis FROM sessions")
 def sessions_of_frames(spark, d):
     """Decoding and folding together give the flow view's own sessions."""
-    own = sessions.with_session_ids(sessions.sessions(sessions.flat_packets(decode(framed(spark, d)))))
-    return own.select("id", "packets", "syn", "syn_ack", "rst", "fin", "client_is_a", "basis")
+    folded = materialize(sessions.sessions(sessions.flat_packets(decode(framed(spark, d)))), "sessions")  # numbering reads it twice
+    own = sessions.with_session_ids(folded)
+    return as_sql_ids(own).select("id", "packets", "syn", "syn_ack", "rst", "fin", "client_is_a", "basis")
 
 
 @query(W + "SELECT seq, CASE WHEN seq % 3 = 0 THEN 'link' ELSE 'ipv4' END AS layer, CASE WHEN seq % 3 = 0 THEN 'unsupported_linktype' ELSE 'truncated_header' END AS code FROM flows WHERE proto = 'tcp' AND seq % 3 <> 2")

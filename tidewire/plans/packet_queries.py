@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import filters, sessions
-from .flows import FLOWS_SQL, LAYERS_SQL, SESSIONS_SQL, flows
+from .flows import FLOWS_SQL, LAYERS_SQL, SESSIONS_SQL, as_sql_ids, flows
 from .registry import query
 
 W = f"WITH {FLOWS_SQL} "
@@ -18,7 +18,7 @@ S = ", ".join(SHORT)
 
 
 def _s(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.with_session_ids(sessions.sessions(flows(spark, d)))
+    return as_sql_ids(sessions.with_session_ids(sessions.sessions(flows(spark, d))))
 
 
 @query(W + f"SELECT {S} FROM flows WHERE dst = '10.0.0.201' AND dst_port = 443 AND lower(proto) = 'tcp' ORDER BY seq LIMIT 100")
