@@ -86,3 +86,17 @@ def test_examples_are_sound():
     own = load_rules(EXAMPLES, builtin=False)
     assert len(own) == 3 and not own.dead and not own.warnings
     assert len(load_rules(EXAMPLES)) == 7
+
+
+def test_a_busy_stretch_is_spread_and_gives_the_same(spark, monkeypatch):
+    """A flood within one window: its stretch can't be cut by windows, but by slices of one."""
+    rows = [(k, k * S // 4000, "10.0.0.1", 1, "10.0.0.2", k % 97, "tcp", 2, 1, None, None, "x") for k in range(40_000)]
+    flood = spark.createDataFrame(rows + [(50_000 + k, *r[1:]) for k, r in enumerate(some_events(300, 3))], EVENTS)
+    numbered = list(enumerate(RULES))
+    cut = rule_pass._stretches(rule_pass.tagged(flood, numbered[:1]), RULES)
+    sizes = [r["count"] for r in rule_pass.sliced_steps(cut, RULES).groupBy("grp", "stretch", "slice").count().collect()]
+    assert sum(sizes) >= 80_000 and max(sizes) <= 80_000 / 15
+    tags = rule_pass.tagged(flood, numbered)
+    columns = ["rule", "grp", "seq", "ts_ns", "now_ns", "value"]
+    monkeypatch.setattr(rule_pass, "BUSY", 100)
+    assert plain(rule_pass.spread_values(tags, RULES), columns) == plain(rule_pass.window_values_of_all(tags, RULES), columns)

@@ -3,7 +3,7 @@
 How it scales. The source is scanned once, whatever the number of rules: what is kept of an event is a narrow row for each rule whose match it meets, and
 events that meet none go before any shuffle. Windows of all lengths are running sums of begins and ends: an event counts from its own time until it
 leaves its rule's window (or, for distinct counts, until its value comes again), so no frame depends on a rule. A group is cut into stretches of 16 of its
-rule's windows, each with a copy of one window before it. Only events over their threshold, and the last one of each stretch, go on from there.
+rule's windows, each with a copy of one window before it; a stretch with many events is summed in slices, which are added up. Only events over their threshold, and the last one of each stretch, go on from there.
 The capture's last time, which the final look at each group needs, is observed while the source is scanned.
 """
 
@@ -19,7 +19,7 @@ from ..functions.scalars import floor_div
 from ..shared import materialize
 from .filters import threshold_met
 from .rule_files import Rule
-from .rules import ERRORS_A_STRETCH, FIELD_COLUMNS, TEXT_FIELDS, cooled, evidence, group_column, match_column, running_counts, stretched
+from .rules import ERRORS_A_STRETCH, FIELD_COLUMNS, TEXT_FIELDS, cooled, evidence, group_column, match_column, running_counts, slice_of, stretched
 
 #: Columns of the event contract that rules read.
 READ = ("seq", "ts_ns", "now_ns", "proto", "flags", "length", "key", "layer", "code", *FIELD_COLUMNS.values())
@@ -70,10 +70,19 @@ def tagged(events: DataFrame, rules: Sequence[tuple[int, Rule]]) -> DataFrame:
 
 def window_values_of_all(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """COUNTED and last: the value of its rule at each tagged event, and whether it is its stretch's last."""
+    return _whole(_stretches(events, rules), rules)
+
+
+def _stretches(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    return stretched(events, _of_rule([r.window_ns for r in rules], "long"))
+
+
+def _whole(cut: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Values of events in their stretches, a stretch in a task."""
     width = _of_rule([r.window_ns for r in rules], "long")
     distinct = [k for k, r in enumerate(rules) if r.metric == "distinct_count"]
     # All windows below lie within (grp, stretch), so this is the only exchange.
-    cut = stretched(events, width).repartition("grp", "stretch")
+    cut = cut.repartition("grp", "stretch")
     by = Window.partitionBy("grp", "stretch")
     gone_t, gone_q = F.col("ts_ns") + width + 1, F.lit(-(1 << 62)).cast("long")
     if distinct:
@@ -93,6 +102,56 @@ def window_values_of_all(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return own.select("rule", "grp", "seq", "ts_ns", "now_ns", value.alias("value"), last.alias("last"))
 
 
+#: Rows of a group's stretch from which on it is summed slice by slice.
+BUSY = 1 << 17
+
+
+def sliced_steps(cut: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Events in their stretches, each as the begin and the end of what it counts for, with the slice of time that the step is in."""
+    width = _of_rule([r.window_ns for r in rules], "long")
+    distinct = F.col("rule").isin([k for k, r in enumerate(rules) if r.metric == "distinct_count"])
+    gone_t, gone_q = F.col("ts_ns") + width + 1, F.lit(-(1 << 62)).cast("long")
+    # A value ends where it comes again; events of rules that don't look at values stay where they are.
+    again = Window.partitionBy("grp", "stretch", "x").orderBy("ts_ns", "seq")
+    nexts = cut.where(distinct).withColumns({"_nt": F.lead("ts_ns").over(again), "_nq": F.lead("seq").over(again)})
+    soon = F.coalesce(F.col("_nt") <= F.col("ts_ns") + width, F.lit(False))
+    valued = nexts.withColumns({"_gt": F.when(soon, F.col("_nt")).otherwise(gone_t), "_gq": F.when(soon, F.col("_nq")).otherwise(gone_q)}).drop("_nt", "_nq")
+    events = cut.where(~distinct).withColumns({"_gt": gone_t, "_gq": gone_q}).unionByName(valued)
+    hit = F.col("hit").cast("long")
+    step = lambda t, q, k, sign: F.struct(F.col(t).alias("t"), F.col(q).alias("q"), F.lit(k).alias("k"), (F.col("weight") * sign).alias("d"), (hit * sign).alias("h"))
+    both = events.withColumn("_step", F.explode(F.array(step("ts_ns", "seq", 1, 1), step("_gt", "_gq", 0, -1))))
+    return both.select("rule", "grp", "stretch", "ahead", "seq", "ts_ns", "now_ns", "_step", floor_div("_step.t", slice_of(width)).alias("slice"))
+
+
+def _sliced(cut: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """What :func:`_whole` gives, for busy stretches: steps are summed slice by slice, and a stretch's slices, a row each, are added up. Last is a slice's last."""
+    own = ["grp", "stretch", "slice"]
+    steps = sliced_steps(cut, rules).repartition(*own)
+    sums = steps.groupBy(*own).agg(F.sum("_step.d").alias("_sd"), F.sum("_step.h").alias("_sh"))
+    before = Window.partitionBy("grp", "stretch").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    heads = sums.select(*own, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(b) for c, b in (("_sd", "_bd"), ("_sh", "_bh"))])
+    order = Window.partitionBy(*own).orderBy("_step.t", "_step.q", "_step.k")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = steps.withColumns({"_rd": F.sum("_step.d").over(upto), "_rh": F.sum("_step.h").over(upto)}).where("_step.k = 1 AND NOT ahead")
+    placed = summed.withColumn("last", F.lead("seq").over(order).isNull()).join(heads, own)
+    total = F.col("_bd") + F.col("_rd")
+    ratio = F.col("rule").isin([k for k, r in enumerate(rules) if r.metric == "ratio"])
+    value = F.when(ratio, (F.col("_bh") + F.col("_rh")) / total).otherwise(total.cast("double"))
+    return placed.select("rule", "grp", "seq", "ts_ns", "now_ns", value.alias("value"), "last")
+
+
+def spread_values(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """:func:`window_values_of_all` of events that may be read twice, with busy stretches spread over tasks."""
+    cut = _stretches(events, rules)
+    # A row for each BUSY rows of input at most.
+    busy = cut.groupBy("grp", "stretch").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUSY).select("grp", "stretch").collect()
+    if not busy:
+        return _whole(cut, rules)
+    named = F.broadcast(cut.sparkSession.createDataFrame(busy, "grp string, stretch long"))
+    of = lambda how: cut.join(named, ["grp", "stretch"], how)
+    return _whole(of("left_anti"), rules).unionByName(_sliced(of("left_semi"), rules))
+
+
 def _counts(events: DataFrame) -> DataFrame:
     """COUNTED and last for rules that count decode errors, which have no times: the running count of the group."""
     last = F.lead("seq").over(Window.partitionBy("grp", floor_div("seq", ERRORS_A_STRETCH)).orderBy("seq", "value")).isNull()
@@ -138,13 +197,12 @@ def evaluate_together(scopes: Sequence[tuple[DataFrame, Sequence[Rule]]], flush:
         tables.append(tagged(read, list(enumerate(own, at))))
         at += len(own)
     events = reduce(DataFrame.unionByName, tables)
-    if with_evidence:
-        events = materialize(events, "tagged")  # the windows read it, and the evidence
+    events = materialize(events, "tagged")  # the windows read it, and the evidence
     counting = [k for k, r in enumerate(rules) if r.decode_scope and r.metric == "count"]
     windowed = [k for k in range(len(rules)) if k not in counting]
     make: list[Callable[[], DataFrame]] = []
     if windowed:
-        make.append(lambda: window_values_of_all(events.where(F.col("rule").isin(windowed)), rules))
+        make.append(lambda: spread_values(events.where(F.col("rule").isin(windowed)), rules))
     if counting:
         make.append(lambda: _counts(events.where(F.col("rule").isin(counting))))
     values = reduce(DataFrame.unionByName, [m() for m in make])

@@ -80,6 +80,15 @@ def group_column(rule: Rule, columns: list[str]) -> Column:
 WINDOWS_A_STRETCH = 16
 
 
+#: A window is cut into this many slices where its packets are ranked or summed.
+SLICES_A_WINDOW = 16
+
+
+def slice_of(window_ns: int | Column) -> Column:
+    """The length of a slice of a window."""
+    return F.greatest(floor_div(F.lit(window_ns).cast("long"), SLICES_A_WINDOW), F.lit(1).cast("long"))
+
+
 def matched_events(events: DataFrame, rule: Rule) -> DataFrame:
     """(grp, seq, ts_ns, now_ns, bytes, x) of the events that a rule matches."""
     columns = events.columns
@@ -261,25 +270,26 @@ def cooled(candidates: DataFrame, cooldown_ns: int) -> DataFrame:
 def evidence(alerts: DataFrame, events: DataFrame, window_ns: int | Column, samples: int = 5) -> DataFrame:
     """Adds what the window of each alert held: first and last times, least and greatest seq, and sampled seqs.
 
-    An equality join on (group, stretch of one window's length); an alert looks into the stretches its window touches. A window given as a column is of
-    what both tables have.
+    An equality join on (group, slice of a window); an alert looks into the slices its window touches, so a window of a busy group is spread over tasks.
+    A window given as a column is of what both tables have.
     """
-    width = max(window_ns, 1) if isinstance(window_ns, int) else F.greatest(window_ns, F.lit(1))
-    keyed = alerts.withColumn("_from", F.col("ts_ns") - window_ns)
-    spots = F.sequence(floor_div("_from", width), floor_div("ts_ns", width))
-    wide = keyed.select("*", F.explode(spots).alias("_s"))
+    width = slice_of(window_ns)
+    one, own = ["grp", "seq", "now_ns"], ["grp", "seq", "now_ns", "_s"]
+    keyed = alerts.select(*one, "ts_ns", (F.col("ts_ns") - window_ns).alias("_from"), width.alias("_w"))
+    wide = keyed.withColumn("_s", F.explode(F.sequence(floor_div("_from", F.col("_w")), floor_div("ts_ns", F.col("_w")))))
     past = events.select(F.col("grp").alias("_g"), F.col("seq").alias("_q"), F.col("ts_ns").alias("_t"), floor_div("ts_ns", width).alias("_es"))
     inside = (F.col("_t") >= F.col("_from")) & ((F.col("_t") < F.col("ts_ns")) | ((F.col("_t") == F.col("ts_ns")) & (F.col("_q") <= F.col("seq"))))
-    held = wide.join(past, (F.col("grp") == F.col("_g")) & (F.col("_s") == F.col("_es")) & inside)
-    at = F.row_number().over(Window.partitionBy("grp", "seq", "now_ns").orderBy("_t", "_q"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("grp", "seq", "now_ns"))
-    marked = held.withColumn("_i", at - 1).withColumn("_n", n)
-    pick = F.array(*[F.floor((F.col("_n") - 1) * k / (samples - 1)) for k in range(samples)])
-    found = marked.groupBy("grp", "seq", "now_ns").agg(
-        F.min("_t").alias("first_ts"), F.max("_t").alias("last_ts"), F.min("_q").alias("first_packet"), F.max("_q").alias("last_packet"),
-        F.collect_list(F.when(F.array_contains(pick, F.col("_i").cast("long")), F.col("_q"))).alias("_s"),
-    )
-    return alerts.join(found.withColumn("sample_packets", F.array_sort(F.array_distinct("_s"))).drop("_s"), ["grp", "seq", "now_ns"])
+    held = wide.join(past, (F.col("grp") == F.col("_g")) & (F.col("_s") == F.col("_es")) & inside).select(*own, "_t", "_q")
+    # Slices are in order of time, so a packet's place in the window is its place in its slice behind those before. A row a slice is what passes here.
+    slices = held.groupBy(*own).agg(F.min("_t").alias("_t0"), F.max("_t").alias("_t1"), F.min("_q").alias("_q0"), F.max("_q").alias("_q1"), F.count(F.lit(1)).alias("_n"))
+    all_of = Window.partitionBy(*one)
+    placed = slices.withColumn("_before", F.sum("_n").over(all_of.orderBy("_s")) - F.col("_n")).withColumn("_all", F.sum("_n").over(all_of))
+    pick = F.array_distinct(F.array(*[F.floor((F.col("_all") - 1) * k / (samples - 1)) for k in range(samples)]))
+    wanted = placed.withColumn("_p", F.explode(pick)).where("_p >= _before AND _p < _before + _n").select(*own, (F.col("_p") - F.col("_before") + 1).cast("int").alias("_i"))
+    ranked = held.withColumn("_i", F.row_number().over(Window.partitionBy(*own).orderBy("_t", "_q")))
+    picked = ranked.join(wanted, [*own, "_i"]).groupBy(*one).agg(F.array_sort(F.collect_set("_q")).alias("sample_packets"))
+    found = slices.groupBy(*one).agg(F.min("_t0").alias("first_ts"), F.max("_t1").alias("last_ts"), F.min("_q0").alias("first_packet"), F.max("_q1").alias("last_packet"))
+    return alerts.join(found, one).join(picked, one)
 
 
 def in_arrival_order(events: DataFrame) -> DataFrame:
