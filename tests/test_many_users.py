@@ -61,3 +61,17 @@ def test_the_operators_own_ids_stay_unique(spark):
 
     ids = with_session_ids(spark.range(1_000_005).selectExpr("id AS first_seq"))
     assert ids.select("id").distinct().count() == 1_000_005 and ids.where("first_seq = 1000004").first().id == "S-1000005"
+
+
+@pytest.fixture(scope="module")
+def late_sessions(many_sessions, tmp_path_factory):
+    """The same sessions; those beyond the millionth have the most bytes."""
+    folder = tmp_path_factory.mktemp("late_sessions")
+    duckdb.connect().execute(f"COPY (SELECT * REPLACE (CASE WHEN event_id >= 1040000 THEN 5 + event_id % 900 / 100.0 ELSE 0.0 END AS value) FROM '{many_sessions}/events.parquet') TO '{folder}/events.parquet' (FORMAT parquet)")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["conversations_by_bytes", "session_client_server"])
+def test_late_sessions_have_the_ids_of_the_sql(spark, late_sessions, name):
+    rows, *differ = compared(spark, late_sessions, name)
+    assert rows and differ == [0, 0]
