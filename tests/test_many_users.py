@@ -44,6 +44,33 @@ def test_rules_over_frames_of_any_user(spark, many_users):
     QUERIES["builtin_rules_on_frames"](spark, str(many_users)).collect()
 
 
+@pytest.fixture(scope="module")
+def far_users(tmp_path_factory):
+    """Users whose addresses three octets don't hold; each second one has the octets of the one before."""
+    return events(tmp_path_factory.mktemp("far_users"), 3000, "[5, 4030464005, 4030463900, 8060927900, 60000000000][i % 5 + 1] + i // 10 % 3")
+
+
+@pytest.mark.parametrize("name", ["decode_frames", "decode_dns", "decode_failures", "payload_bytes", "sessions_of_frames"])
+def test_frames_of_users_beyond_four_octets(spark, far_users, name):
+    rows, *differ = compared(spark, far_users, name)
+    assert rows and differ == [0, 0]
+
+
+@pytest.mark.parametrize("name", ["decode_frames", "decode_dns", "decode_failures", "payload_bytes"])
+def test_frames_of_the_last_user_of_a_long(spark, tmp_path, name):
+    rows, *differ = compared(spark, events(tmp_path, 300, "9223372036854775807 - i"), name)
+    assert rows and differ == [0, 0]
+
+
+def test_rules_keep_users_beyond_four_octets_apart(spark, tmp_path):
+    """Two users with the same octets flood within a few seconds; each is a group."""
+    slow = events(tmp_path, 6000, "[5, 4030464005][i % 2 + 1]")
+    (folder := tmp_path / "fast").mkdir()
+    duckdb.connect().execute(f"COPY (SELECT * REPLACE (TIMESTAMP '2024-01-01' + to_milliseconds(event_id) AS ts) FROM '{slow}/events.parquet') TO '{folder}/events.parquet' (FORMAT parquet)")
+    groups = {r.grp for r in QUERIES["builtin_rules_on_frames"](spark, str(folder)).collect() if r.rule_id == "NET-TCP-SYN-BURST-001"}
+    assert any("10.0.0.6" in g for g in groups) and any("10.0.16121856.6" in g for g in groups)
+
+
 @pytest.fixture(scope="module")
 def many_sessions(tmp_path_factory):
     """A little more than a million sessions, a user each."""

@@ -14,13 +14,17 @@ from ..schemas import RAW
 from ..shared import materialize
 from ..sources import synth
 from ..sources.decode import decode
-from .flows import FLOWS_SQL, SESSIONS_SQL, as_sql_ids, flows, off_wire, on_wire
+from .flows import FLOWS_SQL, SESSIONS_SQL, as_sql_ids, far, flows, off_wire, on_wire
 from .registry import query
 
 W = f"WITH {FLOWS_SQL} "
 NUMBERS = {"tcp": 6, "udp": 17, "icmp": 1, "icmpv6": 58}
 
 
+def _mac(far: int, last: int) -> str:
+    return f"02:{int(far).to_bytes(4).hex(':')}:{last:02x}"
+
+
 def _frame(r) -> bytes:
     vlans = () if pd.isna(r.vlan) else (int(r.vlan),)
     if r.proto == "arp":
@@ -32,7 +36,7 @@ def _frame(r) -> bytes:
         body = synth.udp(int(r.src_port), int(r.dst_port), synth.dns_query(f"n{int(r.seq)}.example.com", int(r.seq) & 0xFFFF))
     else:
         body = synth.icmp(8, 0, data)
-    return synth.ethernet(synth.ipv4(body, r.src, r.dst, NUMBERS[r.proto]), vlans=vlans)
+    return synth.ethernet(synth.ipv4(body, r.src, r.dst, NUMBERS[r.proto]), vlans=vlans, src=_mac(r.src_far, 1), dst=_mac(r.dst_far, 2))
 
 
 def framed(spark: SparkSession, d: str) -> DataFrame:
@@ -44,15 +48,21 @@ def framed(spark: SparkSession, d: str) -> DataFrame:
             yield pd.DataFrame({"packet_index": b["seq"], "ts_ns": b["ts_ns"], "precision": "us", "interface_id": b["interface_id"], "linktype": 1, "captured_len": [len(x) for x in raw], "original_len": [len(x) for x in raw], "raw": raw})
 
     own = flows(spark, d).select("seq", "ts_ns", "src", "src_port", "dst", "dst_port", "proto", "flags", "length", "interface_id", "vlan")
-    own = own.withColumns({c: on_wire(F.col(c)) for c in ("src", "dst")})
+    own = own.withColumns({f"{c}_far": far(F.col(c)) for c in ("src", "dst")} | {c: on_wire(F.col(c)) for c in ("src", "dst")})
     return own.repartition(spark.sparkContext.defaultParallelism, "seq").mapInPandas(rows, RAW)
 
 
+def decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The frames' packets with the view's own addresses, as users beyond four octets share those of the frames."""
+    net, link = F.col("network"), F.col("link")
+    own = net.withField("src", off_wire(net["src"], link["src_mac"])).withField("dst", off_wire(net["dst"], link["dst_mac"]))
+    return decode(framed(spark, d)).withColumn("network", own)
+
+
 @query(W + "SELECT seq, src, src_port, dst, dst_port, proto, flags, vlan, CASE WHEN proto = 'udp' AND (src_port = 53 OR dst_port = 53) THEN 'dns' END AS app, 0 AS n_errors FROM flows")
 def decode_frames(spark, d):
     """What frames were made from comes out of the decoder again."""
-    own = sessions.flat_packets(decode(framed(spark, d))).withColumns({c: off_wire(F.col(c)) for c in ("src", "dst")})
-    return own.select("seq", "src", "src_port", "dst", "dst_port", "proto", "flags", "vlan", "app", "n_errors")
+    return sessions.flat_packets(decoded(spark, d)).select("seq", "src", "src_port", "dst", "dst_port", "proto", "flags", "vlan", "app", "n_errors")
 
 
 @query(W + "SELECT seq, 'n' || seq || '.example.com' AS qname, CAST(seq & 65535 AS INT) AS transaction_id, 1 AS qtype, CAST(length('n' || seq || '.example.com') AS INT) AS qname_len FROM flows WHERE proto = 'udp'")
@@ -65,7 +75,7 @@ def decode_dns(spark, d):
 @query(f"WITH {FLOWS_SQL}, {SESSIONS_SQL} SELECT id, packets, syn, syn_ack, rst, fin, client_is_a, basis FROM sessions")
 def sessions_of_frames(spark, d):
     """Decoding and folding together give the flow view's own sessions."""
-    folded = materialize(sessions.sessions(sessions.flat_packets(decode(framed(spark, d)))), "sessions")  # numbering reads it twice
+    folded = materialize(sessions.sessions(sessions.flat_packets(decoded(spark, d))), "sessions")  # numbering reads it twice
     own = sessions.with_session_ids(folded)
     return as_sql_ids(own).select("id", "packets", "syn", "syn_ack", "rst", "fin", "client_is_a", "basis")
 
@@ -118,7 +128,7 @@ def builtin_rules_on_frames(spark, d):
     """R6 over the flow view's own frames."""
     from .engine import Task
 
-    task = Task(spark, "task_flows", "flows", decode(framed(spark, d)), load_rules())
+    task = Task(spark, "task_flows", "flows", decoded(spark, d), load_rules())
     return task._alerts().select("id", "rule_id", "severity", "grp", "value", "first_packet", "last_packet")
 
 
