@@ -102,3 +102,9 @@ def late_sessions(many_sessions, tmp_path_factory):
 def test_late_sessions_have_the_ids_of_the_sql(spark, late_sessions, name):
     rows, *differ = compared(spark, late_sessions, name)
     assert rows and differ == [0, 0]
+
+
+def test_busy_late_sessions_have_the_ids_of_the_sql(spark, tmp_path):
+    """Three users beyond the millionth session send the most packets."""
+    rows, *differ = compared(spark, events(tmp_path, 1_050_000, "CASE WHEN i < 1045000 THEN i ELSE 1045000 + i % 3 END"), "conversations_by_packets")
+    assert rows and differ == [0, 0]
